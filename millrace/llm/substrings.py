@@ -75,13 +75,20 @@ def _seeds(length: int, k: int) -> Callable:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, version and text: rows of equal doc_id may differ in their texts."""
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("version"), F.col("text").alias("text"))
+    """``docs`` with doc_id as a long and version: 0 unless rows of that doc_id repeat, then
+    xxhash64 of the text, as their texts may differ. (A hash in every row would be the larger
+    part of what is shuffled.)"""
+    docs = docs.withColumn("doc_id", F.col("doc_id").cast("bigint"))
+    again = written(docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("__again"), F.lit(True).alias("__repeats")), "substring-ids")
+    if again.isEmpty():
+        return docs.withColumn("version", F.lit(0).cast("bigint"))
+    marked = docs.join(again, F.col("doc_id").eqNullSafe(F.col("__again")), "left")
+    return marked.withColumn("version", F.when(F.col("__repeats"), F.xxhash64("text")).otherwise(F.lit(0))).drop("__again", "__repeats")
 
 
 def seeds(docs: DataFrame, length: int = LENGTH, k: int = KGRAM) -> DataFrame:
-    """(doc_id, version, anchor, span, lo, hi) of the stretches of ``docs`` (doc_id, text)."""
-    return _keyed(docs).mapInArrow(_seeds(length, k), "doc_id bigint, version bigint, anchor bigint, span bigint, lo int, hi int")
+    """(doc_id, version, anchor, span, lo, hi) of the stretches of ``docs`` (doc_id, version, text)."""
+    return docs.select("doc_id", "version", "text").mapInArrow(_seeds(length, k), "doc_id bigint, version bigint, anchor bigint, span bigint, lo int, hi int")
 
 
 def _windows(length: int) -> Callable:
@@ -136,8 +143,8 @@ def _place(start: str) -> Column:
 
 
 def repeats(docs: DataFrame, length: int = LENGTH, k: int = KGRAM) -> DataFrame:
-    """doc_id, version (xxhash64 of the text), starts and ends: the maximal runs of words, from
-    start to before end, covered by windows of ``length`` words that also start earlier.
+    """doc_id, version, starts and ends: the maximal runs of words of ``docs`` (doc_id, version,
+    text), from start to before end, covered by windows of ``length`` words that also start earlier.
     Earlier: a smaller (doc_id, start); a null doc_id is larger than any. Rows of equal doc_id
     count as one document, so a repeated row doesn't repeat itself. Documents without such a
     run are not listed; a null text, or one of fewer words, has none."""
@@ -158,8 +165,8 @@ def repeats(docs: DataFrame, length: int = LENGTH, k: int = KGRAM) -> DataFrame:
     heads = classes.join(shared, "anchor").select("first.at.doc_id", "first.version", F.struct("anchor", lo.alias("lo"), (lo + F.col("more")).alias("hi")).alias("found"))
     by_doc = heads.groupBy("doc_id", "version").agg(F.collect_list("found").alias("found"))
     by_doc = written(by_doc.select("doc_id", "version", F.col("found.anchor").alias("anchors"), F.col("found.lo").alias("los"), F.col("found.hi").alias("his")), "substring-heads")
-    # One row of each text is enough.
-    texts = _keyed(docs).join(_bounded(by_doc).withColumnsRenamed({"doc_id": "id", "version": "of"}), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("version") == F.col("of")))
+    # About half of all documents have such a class, so this join shuffles the texts.
+    texts = docs.select("doc_id", "version", "text").join(by_doc.withColumnsRenamed({"doc_id": "id", "version": "of"}), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("version") == F.col("of")))
     windows = texts.select("doc_id", "version", "text", "anchors", "los", "his").mapInArrow(_windows(length), "doc_id bigint, version bigint, anchor bigint, window bigint, at int")
     windows = written(windows.select("anchor", "window", _place("at").alias("place")), "substring-windows")
     first = windows.groupBy("anchor", "window").agg(F.min("place.at").alias("first"), F.max("place.at").alias("last")).where("first < last").drop("last")
@@ -197,12 +204,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = KGRAM) -> Dat
     """The columns of ``docs`` but text, as they are, and n_words, n_removed, kept (UTF-8 of the
     kept words joined by spaces; empty for a null text) and left (the text without the
     removed words; unchanged, null included, where none is), a row for each row of ``docs``."""
-    found = _bounded(written(repeats(docs, length, k), "substring-spans"))
     others = [c for c in docs.columns if c != "text"]
     renamed = [F.col(c).alias(f"__c{i}") for i, c in enumerate(others)]
-    d = docs.select(F.col("doc_id").cast("bigint").alias("__id"), F.xxhash64("text").alias("__version"), F.col("text").alias("__text"), *renamed)
-    same = F.col("__id").eqNullSafe(F.col("doc_id")) & (F.col("__version") == F.col("version"))
+    d = _keyed(docs.select("doc_id", "text", *renamed))
+    found = _bounded(written(repeats(d, length, k), "substring-spans")).withColumnsRenamed({"doc_id": "__id", "version": "__version"})
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("version") == F.col("__version"))
     rest = [f"__c{i}" for i in range(len(others))]
     schema = ", ".join(f"{c} {d.schema[c].dataType.simpleString()}" for c in rest)
-    out = d.join(found, same, "left").select("__text", "starts", "ends", *rest).mapInArrow(_removed, f"{schema}, n_words bigint, n_removed bigint, kept binary, left string")
+    out = d.join(found, same, "left").select("text", "starts", "ends", *rest).mapInArrow(_removed, f"{schema}, n_words bigint, n_removed bigint, kept binary, left string")
     return out.select(*[F.col(c).alias(name) for c, name in zip(rest, others, strict=True)], "n_words", "n_removed", "kept", "left")
