@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, decontaminate, hilbert, langid, quality, simhash, substrings, unigram, urls
+from millrace.llm import backoff, bpe, decontaminate, hilbert, langid, quality, simhash, substrings, unigram, urls
 from millrace.llm.store import table
 
 SHARDS = 24
@@ -48,6 +48,11 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(bpe.encode(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN))
 
 
+def op6_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = backoff.scores(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", F.round("log_score", 3).alias("log_score"))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substrings.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -68,5 +73,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unigram.count_tokens(table(spark, sf_dir, "documents"), UNIGRAM_VOCABULARY)
 
 
-QUERIES = {f.__name__: f for f in (op1_hilbert_shards, op2_winnowing_decontamination, op3_language_id, op4_quality_rules, op5_byte_bpe, op7_substring_dedup, op8_url_templates, op9_simhash_near_dedup, op10_token_counts)}
-ORACLES: dict[str, str] = {"op4_quality_rules": quality.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_hilbert_shards, op2_winnowing_decontamination, op3_language_id, op4_quality_rules, op5_byte_bpe, op6_stupid_backoff, op7_substring_dedup, op8_url_templates, op9_simhash_near_dedup, op10_token_counts)}
+ORACLES: dict[str, str] = {"op4_quality_rules": quality.ORACLE, "op6_stupid_backoff": backoff.ORACLE}
