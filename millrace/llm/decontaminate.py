@@ -11,8 +11,8 @@ compared with the item's, both ways as far as a window with the seed can reach,
 common run about the seed, if at least a window long, is a hit. A longer shared span is the union
 of the hits of its windows' seeds.
 
-The benchmark's fingerprints and the candidates are broadcast if their counted size is within
-``BROADCAST_ROWS``, and joined by shuffle beyond it.
+The benchmark's fingerprints and the candidates are broadcast if their counted rows are within a
+bound, and joined by shuffle beyond it.
 """
 
 from __future__ import annotations
@@ -20,14 +20,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.store import written
+from millrace.llm.store import bounded, written
 
 WINDOW = 13
 KGRAM = 8
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WORDS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-BROADCAST_ROWS = 500_000
 
 
 def _let(value: Column, body) -> Column:
@@ -65,11 +64,6 @@ def _tagged(hashes: Column, length: int) -> Column:
     return F.transform(hashes, lambda x: F.struct(F.lit(length).alias("length"), x.alias("hash")))
 
 
-def _bounded(df: DataFrame) -> DataFrame:
-    """A written table, marked for broadcast if it has at most BROADCAST_ROWS rows."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
-
 def _around(w: Column, at: Column, length: int, k: int, window: int) -> Column:
     """What is compared about the gram at place ``at``: the words before it, nearest first, and
     from it on, as far as a window that holds the gram can reach."""
@@ -108,9 +102,9 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = K
     short = sorted(r["length"] for r in prints.select("length").distinct().collect() if r["length"] < window)  # at most window - 1 lengths
     key = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("version"), F.col("text").cast("string").alias("text"))
     found = key.select("doc_id", "version", F.inline(_let(words(F.col("text")), lambda w: fingerprints(w, short, window, k))))
-    candidates = found.join(_bounded(prints), ["length", "hash"]).groupBy("doc_id", "version").agg(F.collect_set(F.struct("length", "hash")).alias("prints"))
+    candidates = found.join(bounded(prints), ["length", "hash"]).groupBy("doc_id", "version").agg(F.collect_set(F.struct("length", "hash")).alias("prints"))
     candidates = written(candidates, "benchmark-candidates")
-    texts = key.alias("d").join(_bounded(candidates).alias("c"), F.expr("d.doc_id <=> c.doc_id AND d.version = c.version")).select("d.doc_id", "d.version", "d.text", "c.prints")
+    texts = key.alias("d").join(bounded(candidates).alias("c"), F.expr("d.doc_id <=> c.doc_id AND d.version = c.version")).select("d.doc_id", "d.version", "d.text", "c.prints")
 
     def places(w: Column) -> Column:
         def of(length: int, n: int) -> Column:
@@ -123,7 +117,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = K
         return F.concat(of(window, k), *[of(n, n) for n in short])
 
     mine = texts.select("doc_id", "version", F.inline(_let(words(F.col("text")), places))).distinct()
-    theirs = _bounded(seeds).select("item_id", "length", "hash", F.col("before").alias("item_before"), F.col("after").alias("item_after"))
+    theirs = bounded(seeds).select("item_id", "length", "hash", F.col("before").alias("item_before"), F.col("after").alias("item_after"))
     agree = mine.join(theirs, ["length", "hash"]).select("doc_id", "version", "item_id", "length", "at", _common(F.col("before"), F.col("item_before")).alias("left"), _common(F.col("after"), F.col("item_after")).alias("right"))
     extended = written(agree.where("left + right >= length").select("doc_id", "version", "item_id", (F.col("at") - F.col("left")).alias("start"), (F.col("at") + F.col("right")).alias("end")), "benchmark-matches")
     items = extended.groupBy("doc_id", "version").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
@@ -143,7 +137,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k:
     occurring windows), spans and contaminated (a hit, and at least a twentieth of the words), a
     row for each row of ``docs`` (doc_id, text). A null text has no words. Null item texts, and those
     without words, have no window; rows of one item_id count as one item."""
-    found = _bounded(written(hits(docs, benchmark, window, k), "benchmark-hits")).alias("h")
+    found = bounded(written(hits(docs, benchmark, window, k), "benchmark-hits")).alias("h")
     d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col("doc_id").cast("bigint").alias("id"), F.xxhash64("text").alias("of"), F.regexp_count(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(WORDS)).cast("bigint").alias("n_words"))
     joined = d.join(found, F.expr("id <=> h.doc_id AND of = h.version"), "left")
     n_hit = F.coalesce(F.aggregate("spans", F.lit(0).cast("bigint"), lambda a, s: a + (s["end"] - s["start"])), F.lit(0).cast("bigint"))
@@ -162,3 +156,10 @@ def without(text: Column, spans: Column) -> Column:
         return _let(F.regexp_extract_all(text, F.lit(WORDS), F.lit(0)), rebuilt)
 
     return _let(F.split(text, WORDS), build)
+
+
+def cleaned(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """``docs`` without the contaminated rows, and without the hit words in the others."""
+    out = contaminated(docs, benchmark).where("NOT contaminated")
+    text = F.when(F.col("n_hit") > 0, without(F.col("doc.text"), F.col("spans"))).otherwise(F.col("doc.text"))
+    return out.select(*[text.alias(c) if c == "text" else F.col("doc").getField(c).alias(c) for c in docs.columns])

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.store import written
+from millrace.llm.store import without_rows, written
 
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]"
@@ -69,13 +69,13 @@ def _counts(text: Column) -> Column:
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, source, the counts in FIELDS, base_failed and the metrics, a row for each row
+    """doc_id, version (xxhash64 of the text), lang, source, the counts in FIELDS, base_failed and the metrics, a row for each row
     of ``docs`` (doc_id, text, lang, source). A null text has no words; a metric without words is
     null."""
-    d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), _counts(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("c"))
-    d = d.select("doc_id", "lang", "source", F.col("c.w.n").alias("n_words"), "c.word_chars", "c.n_symbols", F.col("c.l.dup").alias("n_dup_lines"), F.col("c.w.r").alias("n_repeat_words"), F.col("c.n_capitals").alias("n_capitals"), F.col("c.l.n").alias("n_lines"))
+    d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.xxhash64("text").alias("version"), _counts(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("c"))
+    d = d.select("doc_id", "version", "lang", "source", F.col("c.w.n").alias("n_words"), "c.word_chars", "c.n_symbols", F.col("c.l.dup").alias("n_dup_lines"), F.col("c.w.r").alias("n_repeat_words"), F.col("c.n_capitals").alias("n_capitals"), F.col("c.l.n").alias("n_lines"))
     return d.select(
-        "doc_id", "lang", "source", *FIELDS,
+        "doc_id", "version", "lang", "source", *FIELDS,
         F.expr(f"n_words < {MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words").alias("base_failed"),
         F.expr("CASE WHEN n_words > 0 THEN 1000 * n_symbols div word_chars END").alias("symbols"),
         F.expr("CASE WHEN n_words > 0 THEN 1000 * n_dup_lines div (n_lines + 10) END").alias("dup_lines"),
@@ -139,6 +139,11 @@ def judged(docs: DataFrame) -> DataFrame:
     return joined.withColumn("kept", ~rejected).drop("t_lang", "t_source")
 
 
+def kept(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are kept, as they are."""
+    return without_rows(docs, judged(docs).where("NOT kept"))
+
+
 def _oracle() -> str:
     """The query in DuckDB SQL."""
     metric_rows = " UNION ALL ".join(f"SELECT lang, source, '{m}' AS metric, {m} AS v FROM m WHERE {m} IS NOT NULL" for m in METRICS)

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.store import width, written
+from millrace.llm.store import bounded, without_rows, written
 
 RADIUS = 2
 SHINGLE = 3
@@ -59,14 +59,16 @@ def _fingerprints(shingle: int) -> Callable:
     def run(batches):
         for batch in batches:
             fps = np.fromiter((fingerprint(t.as_py(), shingle) for t in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fps.view(np.int64))], names=["doc_id", "version", "fp"])
 
     return run
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id and fp (a signed long of the 64 bits) for each row of ``docs`` (doc_id, text)."""
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(_fingerprints(shingle), "doc_id bigint, fp bigint")
+    """doc_id, version (xxhash64 of the text) and fp (a signed long of the 64 bits) for each row of
+    ``docs`` (doc_id, text)."""
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("version"))
+    return rows.mapInArrow(_fingerprints(shingle), "doc_id bigint, version bigint, fp bigint")
 
 
 class Tree:
@@ -199,8 +201,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, shard: int = SHARD) -> DataFrame:
-    """doc_id, fp and component_id (the smallest doc_id connected by links) for each row of
-    ``docs`` (doc_id, text). Texts without words have fingerprint 0 and are linked like any
+    """doc_id, version, fp, root (the component's smallest fp as a long) and component_id (the
+    smallest doc_id connected by links) for each row of ``docs`` (doc_id, text). Texts without words have fingerprint 0 and are linked like any
     other. A null id names a component only where all its ids are null."""
     rows = written(fingerprints(docs, shingle), "simhash-rows")
     nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))
@@ -208,8 +210,25 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
     roots = components(links(nodes.select("fp"), radius, shard))
     rooted = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = rooted.join(least, "root").select("fp", "root", "component_id")
+    return rows.join(named, "fp").select("doc_id", "version", "fp", "root", "component_id")
+
+
+def one_of_each(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
+    """One row of each component of ``docs``, as it is: that of the smallest doc_id, null being
+    larger than any; of rows of one doc_id, one of the smallest hash of the text."""
+    rows = written(near_duplicates(docs, radius, shingle).select("doc_id", "version", "root"), "simhash-components")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "version")
+    first = rows.groupBy("root").agg(F.min(order).alias("first")).select("root", "first.doc_id", "first.version")
+    same = F.expr("r.root = f.root AND r.doc_id <=> f.doc_id AND r.version = f.version")
+    left = without_rows(docs, rows.alias("r").join(first.alias("f"), same, "left_anti"))
+    again = written(rows.groupBy("doc_id", "version").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("__id"), F.col("version").alias("__version")), "simhash-repeated")
+    if again.isEmpty():
+        return left
+    # Of rows that repeat as a whole, the first stays.
+    repeated = F.col("doc_id").cast("bigint").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__version"))
+    once = left.join(bounded(again), repeated, "left_semi").dropDuplicates(["doc_id", "text"])
+    return left.join(bounded(again), repeated, "left_anti").unionByName(once)
 
 
 def hexadecimal(fp: str = "fp") -> Column:

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,3 +40,19 @@ def written(df: DataFrame, label: str) -> DataFrame:
 def width(spark: SparkSession) -> int:
     """Shuffle partitions of the session, for explicit repartitioning."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: Rows of two longs up to which a table is broadcast.
+BROADCAST_ROWS = 500_000
+
+
+def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A written table, marked for broadcast if it has at most so many rows; else as it is, to be
+    joined by shuffle."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def without_rows(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """``docs`` without the rows of ``dropped`` (doc_id, version: xxhash64 of the text)."""
+    keys = bounded(written(dropped.select(F.col("doc_id").alias("__id"), F.col("version").alias("__version")).distinct(), "dropped-rows"))
+    return docs.join(keys, F.col("doc_id").cast("bigint").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__version")), "left_anti")

@@ -201,7 +201,7 @@ def _removed(batches):
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = KGRAM) -> DataFrame:
-    """The columns of ``docs`` but text, as they are, and n_words, n_removed, kept (UTF-8 of the
+    """The columns of ``docs`` but text as a struct ``doc``, and n_words, n_removed, kept (UTF-8 of the
     kept words joined by spaces; empty for a null text) and left (the text without the
     removed words; unchanged, null included, where none is), a row for each row of ``docs``."""
     others = [c for c in docs.columns if c != "text"]
@@ -212,4 +212,4 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = KGRAM) -> Dat
     rest = [f"__c{i}" for i in range(len(others))]
     schema = ", ".join(f"{c} {d.schema[c].dataType.simpleString()}" for c in rest)
     out = d.join(found, same, "left").select("text", "starts", "ends", *rest).mapInArrow(_removed, f"{schema}, n_words bigint, n_removed bigint, kept binary, left string")
-    return out.select(*[F.col(c).alias(name) for c, name in zip(rest, others, strict=True)], "n_words", "n_removed", "kept", "left")
+    return out.select(F.struct(*[F.col(c).alias(name) for c, name in zip(rest, others, strict=True)]).alias("doc"), "n_words", "n_removed", "kept", "left")
