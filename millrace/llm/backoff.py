@@ -20,7 +20,6 @@ both words. So no partition gets more than its share and a HEAVY-th of the rows.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator
 
 import numpy as np

@@ -20,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.llm.columns import let
 from millrace.llm.store import bounded, written
 
 WINDOW = 13
@@ -29,11 +30,6 @@ WORDS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def _let(value: Column, body) -> Column:
-    """``body`` of ``value``, which is evaluated once."""
-    return F.transform(F.array(value), body)[0]
-
-
 def lowered(text: Column) -> Column:
     """A-Z in lower case; ``lower`` does just that where all characters are of one byte."""
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
@@ -56,7 +52,7 @@ def _minima(h: Column, span: int) -> Column:
 def fingerprints(w: Column, short: list[int], window: int = WINDOW, k: int = KGRAM) -> Column:
     """(length, hash) of a document: the winnowed ones (length ``window``), and all grams of the
     short lengths."""
-    winnowed = F.array_distinct(_let(grams(w, k), lambda h: _minima(h, window - k + 1)))
+    winnowed = F.array_distinct(let(grams(w, k), lambda h: _minima(h, window - k + 1)))
     return F.concat(_tagged(winnowed, window), *[_tagged(F.array_distinct(grams(w, n)), n) for n in short])
 
 
@@ -78,12 +74,12 @@ def benchmark_seeds(benchmark: DataFrame, window: int = WINDOW, k: int = KGRAM)
     span = window - k + 1
 
     def places(w: Column) -> Column:
-        at = lambda h: F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(h) - (span - 1)), lambda i: _let(F.slice(h, i, span), lambda s: (i + F.array_position(s, F.array_min(s)) - 1).cast("int"))))
-        return F.transform(_let(grams(w, k), at), lambda p: _around(w, p, window, k, window))
+        at = lambda h: F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(h) - (span - 1)), lambda i: let(F.slice(h, i, span), lambda s: (i + F.array_position(s, F.array_min(s)) - 1).cast("int"))))
+        return F.transform(let(grams(w, k), at), lambda p: _around(w, p, window, k, window))
 
     w = F.col("words")
     short = F.array(F.struct(F.size(w).alias("length"), F.xxhash64(w).alias("hash"), F.lit(1).alias("at"), F.slice(w, 1, 0).alias("before"), w.alias("after")))
-    return items.select("item_id", F.inline(F.when(F.size(w) >= window, _let(w, places)).otherwise(short)))
+    return items.select("item_id", F.inline(F.when(F.size(w) >= window, let(w, places)).otherwise(short)))
 
 
 def _common(a: Column, b: Column) -> Column:
@@ -101,7 +97,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = K
     prints = written(seeds.select("length", "hash").distinct(), "benchmark-prints")
     short = sorted(r["length"] for r in prints.select("length").distinct().collect() if r["length"] < window)  # at most window - 1 lengths
     key = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("version"), F.col("text").cast("string").alias("text"))
-    found = key.select("doc_id", "version", F.inline(_let(words(F.col("text")), lambda w: fingerprints(w, short, window, k))))
+    found = key.select("doc_id", "version", F.inline(let(words(F.col("text")), lambda w: fingerprints(w, short, window, k))))
     candidates = found.join(bounded(prints), ["length", "hash"]).groupBy("doc_id", "version").agg(F.collect_set(F.struct("length", "hash")).alias("prints"))
     candidates = written(candidates, "benchmark-candidates")
     texts = key.alias("d").join(bounded(candidates).alias("c"), F.expr("d.doc_id <=> c.doc_id AND d.version = c.version")).select("d.doc_id", "d.version", "d.text", "c.prints")
@@ -112,11 +108,11 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = K
             mine = F.transform(F.filter("prints", lambda p: p["length"] == length), lambda p: p["hash"])
             at = lambda m: F.filter(F.transform(grams(w, n), lambda h, i: F.when(F.array_contains(m, h), i + 1)), lambda i: i.isNotNull())
             none = F.array().cast("array<int>")
-            return F.transform(F.when(F.size(mine) > 0, _let(mine, at)).otherwise(none), lambda p: _around(w, p, length, n, window))
+            return F.transform(F.when(F.size(mine) > 0, let(mine, at)).otherwise(none), lambda p: _around(w, p, length, n, window))
 
         return F.concat(of(window, k), *[of(n, n) for n in short])
 
-    mine = texts.select("doc_id", "version", F.inline(_let(words(F.col("text")), places))).distinct()
+    mine = texts.select("doc_id", "version", F.inline(let(words(F.col("text")), places))).distinct()
     theirs = bounded(seeds).select("item_id", "length", "hash", F.col("before").alias("item_before"), F.col("after").alias("item_after"))
     agree = mine.join(theirs, ["length", "hash"]).select("doc_id", "version", "item_id", "length", "at", _common(F.col("before"), F.col("item_before")).alias("left"), _common(F.col("after"), F.col("item_after")).alias("right"))
     extended = written(agree.where("left + right >= length").select("doc_id", "version", "item_id", (F.col("at") - F.col("left")).alias("start"), (F.col("at") + F.col("right")).alias("end")), "benchmark-matches")
@@ -153,9 +149,9 @@ def without(text: Column, spans: Column) -> Column:
             pieces = F.transform(w, lambda x, i: F.concat(F.get(gaps, i), F.when(hit(i + 1), F.lit("")).otherwise(x)))
             return F.concat(F.concat_ws("", pieces), F.element_at(gaps, -1))
 
-        return _let(F.regexp_extract_all(text, F.lit(WORDS), F.lit(0)), rebuilt)
+        return let(F.regexp_extract_all(text, F.lit(WORDS), F.lit(0)), rebuilt)
 
-    return _let(F.split(text, WORDS), build)
+    return let(F.split(text, WORDS), build)
 
 
 def cleaned(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.llm.columns import let
 from millrace.llm.store import width, written
 
 LAW = "rows"
@@ -34,14 +35,9 @@ def curve_index(coordinates: list[Column], bits: int) -> Column:
     for level in range(bits - 1, 0, -1):
         q, p = 1 << level, (1 << level) - 1
         for i in range(n):
-            axes = _let(axes, _step(i, q, p, n))
-    axes = _let(axes, lambda a: _gray(a, n, bits))
-    return _let(axes, lambda a: _interleave(a, n, bits))
-
-
-def _let(value: Column, body) -> Column:
-    """``body`` of ``value``, which is evaluated once."""
-    return F.transform(F.array(value), body)[0]
+            axes = let(axes, _step(i, q, p, n))
+    axes = let(axes, lambda a: _gray(a, n, bits))
+    return let(axes, lambda a: _interleave(a, n, bits))
 
 
 def _step(i: int, q: int, p: int, n: int):

@@ -17,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.llm.columns import let
 from millrace.llm.store import without_rows, written
 
 SPACE = r"[\x20\x09-\x0D]"
@@ -31,11 +32,6 @@ METRICS = {"symbols": (50, False), "dup_lines": (200, False), "capitals": (100,
 FIELDS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def _let(value: Column, body) -> Column:
-    """``body`` of ``value``, which is evaluated once."""
-    return F.transform(F.array(value), body)[0]
-
-
 def _repeated(words: Column) -> Column:
     """How many words lie in windows of three words that occur twice or more in the text. Windows
     are compared by 64-bit hashes; equal ones stand together once sorted."""
@@ -53,18 +49,18 @@ def _repeated(words: Column) -> Column:
         return F.aggregate(new, F.lit(0).cast("bigint"), lambda a, x: a + x)
 
     windows = F.sort_array(F.transform(F.sequence(F.lit(0), F.size(words) - 3), window))
-    return F.when(F.size(words) < 4, F.lit(0).cast("bigint")).otherwise(_let(_let(windows, places), covered))
+    return F.when(F.size(words) < 4, F.lit(0).cast("bigint")).otherwise(let(let(windows, places), covered))
 
 
 def _counts(text: Column) -> Column:
     words = F.array_remove(F.split(text, f"{SPACE}+"), "")
     lines = F.filter(F.split(text, "\n"), lambda line: line.rlike(WORD))
     return F.struct(
-        _let(words, lambda w: F.struct(F.size(w).cast("bigint").alias("n"), _repeated(w).alias("r"))).alias("w"),
+        let(words, lambda w: F.struct(F.size(w).cast("bigint").alias("n"), _repeated(w).alias("r"))).alias("w"),
         (F.length(text) - F.regexp_count(text, F.lit(SPACE))).cast("bigint").alias("word_chars"),
         F.regexp_count(text, F.lit(SYMBOL)).cast("bigint").alias("n_symbols"),
         F.regexp_count(text, F.lit("[A-Z]")).cast("bigint").alias("n_capitals"),
-        _let(lines, lambda x: F.struct(F.size(x).cast("bigint").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("bigint").alias("dup"))).alias("l"),
+        let(lines, lambda x: F.struct(F.size(x).cast("bigint").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("bigint").alias("dup"))).alias("l"),
     )
 
 

@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import backoff, bpe, decontaminate, hilbert, langid, quality, simhash, substrings, unigram, urls
+from millrace.llm import backoff, bpe, decontaminate, hilbert, langid, oracles, quality, simhash, substrings, unigram, urls
 from millrace.llm.store import table
 
 SHARDS = 24
@@ -74,4 +74,4 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_hilbert_shards, op2_winnowing_decontamination, op3_language_id, op4_quality_rules, op5_byte_bpe, op6_stupid_backoff, op7_substring_dedup, op8_url_templates, op9_simhash_near_dedup, op10_token_counts)}
-ORACLES: dict[str, str] = {"op4_quality_rules": quality.ORACLE, "op6_stupid_backoff": backoff.ORACLE}
+ORACLES: dict[str, str] = oracles.ORACLES | {"op8_url_templates": oracles.url_templates(RULES)}

@@ -1,6 +1,5 @@
 import random
 
-import public_tokenizers as P
 import sentencepiece
 from tokenizers import Tokenizer, models
 
