@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.columns import let
-from millrace.llm.store import width, written
+from millrace.llm.store import bounded, width, written
 
 LAW = "rows"
 
@@ -96,6 +96,7 @@ def shards(docs: DataFrame, n_shards: int, bits: int = 8) -> DataFrame:
     thin = written(thin, "shard-rows")
     # A text found once is placed by its own row; only the others need their group's.
     groups = thin.groupBy("size", "text_hash").agg(F.min("meta").alias("group_meta"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
+    groups = bounded(written(groups, "shard-groups"))  # a hot group's join can be split where both sides are tables
     placed = thin.join(groups, ["size", "text_hash"], "left")
     meta = F.coalesce("group_meta", "meta")
     cell = curve_index([quantised_hash(meta["lang"], bits), quantised_hash(meta["source"], bits), quantised_length(F.col("size"), bits)], bits)
