@@ -150,7 +150,8 @@ def repeats(docs: DataFrame, length: int = LENGTH, k: int = KGRAM) -> DataFrame:
     run are not listed; a null text, or one of fewer words, has none."""
     stretch = written(seeds(docs, length, k), "substring-seeds")
     # Anchors found once have no equal elsewhere.
-    again = stretch.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    # (Here and below, a written table on each side lets Spark split a hot anchor's join.)
+    again = written(stretch.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "substring-again")
     candidates = written(stretch.join(again, "anchor").select("anchor", "span", _place("lo").alias("place"), (F.col("hi") - F.col("lo")).alias("more")), "substring-candidates")
     classes = candidates.groupBy("anchor", "span", "more").agg(F.min("place").alias("first"), F.count("*").alias("n"))
     classes = written(classes, "substring-classes")
@@ -160,7 +161,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, k: int = KGRAM) -> DataFrame:
     lo = F.col("place.at.start")
     whole = later.select("place.at.doc_id", "place.version", lo.alias("lo"), (lo + F.col("more")).alias("hi"))
     # Classes that share an anchor may share some of their windows.
-    shared = classes.groupBy("anchor").agg(F.count("*").alias("classes")).where("classes > 1").select("anchor")
+    shared = written(classes.groupBy("anchor").agg(F.count("*").alias("classes")).where("classes > 1").select("anchor"), "substring-shared")
     lo = F.col("first.at.start")
     heads = classes.join(shared, "anchor").select("first.at.doc_id", "first.version", F.struct("anchor", lo.alias("lo"), (lo + F.col("more")).alias("hi")).alias("found"))
     by_doc = heads.groupBy("doc_id", "version").agg(F.collect_list("found").alias("found"))
@@ -170,6 +171,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, k: int = KGRAM) -> DataFrame:
     windows = texts.select("doc_id", "version", "text", "anchors", "los", "his").mapInArrow(_windows(length), "doc_id bigint, version bigint, anchor bigint, window bigint, at int")
     windows = written(windows.select("anchor", "window", _place("at").alias("place")), "substring-windows")
     first = windows.groupBy("anchor", "window").agg(F.min("place.at").alias("first"), F.max("place.at").alias("last")).where("first < last").drop("last")
+    first = written(first, "substring-first")
     start = F.col("place.at.start")
     partly = windows.join(first, ["anchor", "window"]).where("place.at > first").select("place.at.doc_id", "place.version", start.alias("lo"), start.alias("hi"))
     found = whole.union(partly).groupBy("doc_id", "version").agg(F.collect_set(F.struct("lo", "hi")).alias("runs"))
