@@ -161,8 +161,8 @@ def links(nodes: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFra
             masks = F.when(F.col("mask") == _signed(mask), choice) if masks is None else masks.when(F.col("mask") == _signed(mask), choice)
         dealt = level.select("fp", F.explode(masks).alias("mask")).withColumn("value", F.col("fp").bitwiseAND(F.col("mask")))
         sizes = dealt.groupBy("mask", "value").agg(F.count("*").alias("n")).where("n > 1")
-        sized = dealt.join(sizes, ["mask", "value"])
-        sized = written(sized, "simhash-shards")
+        sizes = written(sizes, "simhash-sizes")  # a hot shard's join can be split where neither side is grouped in it
+        sized = written(dealt.join(sizes, ["mask", "value"]), "simhash-shards")
         last = any(64 - bin(m).count("1") <= 2 * (radius + 1) for _, wider in routes for m in wider)
         # At most 2^(free bits) members are left in a shard of the last level.
         small = sized if last else sized.where(F.col("n") <= shard)
@@ -208,7 +208,8 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
     nodes = written(nodes, "simhash-nodes")
     roots = components(links(nodes.select("fp"), radius, shard))
     rooted = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    rooted = written(rooted, "simhash-rooted")
+    least = written(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "simhash-least")
     named = rooted.join(least, "root").select("fp", "root", "component_id")
     return rows.join(named, "fp").select("doc_id", "version", "fp", "root", "component_id")
 
