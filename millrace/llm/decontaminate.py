@@ -39,9 +39,13 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(lowered(F.coalesce(text, F.lit(""))), SEPARATORS), "")
 
 
-def grams(w: Column, k: int) -> Column:
-    """Hashes of the k-grams of a word array; empty if it is shorter."""
-    return F.when(F.size(w) < k, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(1), F.size(w) - (k - 1)), lambda i: F.xxhash64(F.slice(w, i, k))))
+def hashes(w: Column) -> Column:
+    return F.transform(w, lambda x: F.xxhash64(x))
+
+
+def grams(wh: Column, k: int) -> Column:
+    """Hashes of the k-grams of an array of word hashes; empty if it is shorter."""
+    return F.when(F.size(wh) < k, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(1), F.size(wh) - (k - 1)), lambda i: F.xxhash64(F.slice(wh, i, k))))
 
 
 def _minima(h: Column, span: int) -> Column:
@@ -49,23 +53,23 @@ def _minima(h: Column, span: int) -> Column:
     return F.when(F.size(h) < span, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(1), F.size(h) - (span - 1)), lambda i: F.array_min(F.slice(h, i, span))))
 
 
-def fingerprints(w: Column, short: list[int], window: int = WINDOW, k: int = KGRAM) -> Column:
-    """(length, hash) of a document: the winnowed ones (length ``window``), and all grams of the
+def fingerprints(wh: Column, short: list[int], window: int = WINDOW, k: int = KGRAM) -> Column:
+    """(length, hash) of a document's word hashes: the winnowed ones (length ``window``), and all grams of the
     short lengths."""
-    winnowed = F.array_distinct(let(grams(w, k), lambda h: _minima(h, window - k + 1)))
-    return F.concat(_tagged(winnowed, window), *[_tagged(F.array_distinct(grams(w, n)), n) for n in short])
+    winnowed = F.array_distinct(let(grams(wh, k), lambda h: _minima(h, window - k + 1)))
+    return F.concat(_tagged(winnowed, window), *[_tagged(F.array_distinct(grams(wh, n)), n) for n in short])
 
 
 def _tagged(hashes: Column, length: int) -> Column:
     return F.transform(hashes, lambda x: F.struct(F.lit(length).alias("length"), x.alias("hash")))
 
 
-def _around(w: Column, at: Column, length: int, k: int, window: int) -> Column:
+def _around(w: Column, hash_: Column, at: Column, length: int, k: int, window: int) -> Column:
     """What is compared about the gram at place ``at``: the words before it, nearest first, and
     from it on, as far as a window that holds the gram can reach."""
     reach = window - k if length == window else 0
     before = F.reverse(F.slice(w, F.greatest(at - reach, F.lit(1)), F.least(at - 1, F.lit(reach))))
-    return F.struct(F.lit(length).alias("length"), F.xxhash64(F.slice(w, at, k)).alias("hash"), at.alias("at"), before.alias("before"), F.slice(w, at, k + reach).alias("after"))
+    return F.struct(F.lit(length).alias("length"), hash_.alias("hash"), at.alias("at"), before.alias("before"), F.slice(w, at, k + reach).alias("after"))
 
 
 def benchmark_seeds(benchmark: DataFrame, window: int = WINDOW, k: int = KGRAM) -> DataFrame:
@@ -75,10 +79,10 @@ def benchmark_seeds(benchmark: DataFrame, window: int = WINDOW, k: int = KGRAM)
 
     def places(w: Column) -> Column:
         at = lambda h: F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(h) - (span - 1)), lambda i: let(F.slice(h, i, span), lambda s: (i + F.array_position(s, F.array_min(s)) - 1).cast("int"))))
-        return F.transform(let(grams(w, k), at), lambda p: _around(w, p, window, k, window))
+        return let(let(hashes(w), lambda wh: grams(wh, k)), lambda h: F.transform(at(h), lambda p: _around(w, F.get(h, p - 1), p, window, k, window)))
 
     w = F.col("words")
-    short = F.array(F.struct(F.size(w).alias("length"), F.xxhash64(w).alias("hash"), F.lit(1).alias("at"), F.slice(w, 1, 0).alias("before"), w.alias("after")))
+    short = F.array(F.struct(F.size(w).alias("length"), F.xxhash64(hashes(w)).alias("hash"), F.lit(1).alias("at"), F.slice(w, 1, 0).alias("before"), w.alias("after")))
     return items.select("item_id", F.inline(F.when(F.size(w) >= window, let(w, places)).otherwise(short)))
 
 
@@ -97,7 +101,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = K
     prints = written(seeds.select("length", "hash").distinct(), "benchmark-prints")
     short = sorted(r["length"] for r in prints.select("length").distinct().collect() if r["length"] < window)  # at most window - 1 lengths
     key = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("version"), F.col("text").cast("string").alias("text"))
-    found = key.select("doc_id", "version", F.inline(let(words(F.col("text")), lambda w: fingerprints(w, short, window, k))))
+    found = key.select("doc_id", "version", F.inline(let(hashes(words(F.col("text"))), lambda wh: fingerprints(wh, short, window, k))))
     candidates = found.join(bounded(prints), ["length", "hash"]).groupBy("doc_id", "version").agg(F.collect_set(F.struct("length", "hash")).alias("prints"))
     candidates = written(candidates, "benchmark-candidates")
     texts = key.alias("d").join(bounded(candidates).alias("c"), F.expr("d.doc_id <=> c.doc_id AND d.version = c.version")).select("d.doc_id", "d.version", "d.text", "c.prints")
@@ -105,10 +109,10 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = K
     def places(w: Column) -> Column:
         def of(length: int, n: int) -> Column:
             """Places of the joined fingerprints of a length, in a word array."""
-            mine = F.transform(F.filter("prints", lambda p: p["length"] == length), lambda p: p["hash"])
-            at = lambda m: F.filter(F.transform(grams(w, n), lambda h, i: F.when(F.array_contains(m, h), i + 1)), lambda i: i.isNotNull())
-            none = F.array().cast("array<int>")
-            return F.transform(F.when(F.size(mine) > 0, let(mine, at)).otherwise(none), lambda p: _around(w, p, length, n, window))
+            joined = F.transform(F.filter("prints", lambda p: p["length"] == length), lambda p: p["hash"])
+            at = lambda m: F.filter(F.transform(let(hashes(w), lambda wh: grams(wh, n)), lambda h, i: F.when(F.array_contains(m, h), F.struct(h.alias("hash"), (i + 1).alias("at")))), lambda x: x.isNotNull())
+            none = F.array().cast("array<struct<hash:bigint,at:int>>")
+            return F.transform(F.when(F.size(joined) > 0, let(joined, at)).otherwise(none), lambda x: _around(w, x["hash"], x["at"], length, n, window))
 
         return F.concat(of(window, k), *[of(n, n) for n in short])
 
