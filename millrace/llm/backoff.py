@@ -34,7 +34,7 @@ ALPHA = 0.4
 MIN_COUNT = 2
 HEAVY = 5_000
 #: Tokens, and documents, that a task packs at a time.
-FLUSH_TOKENS, FLUSH_DOCS = 1_500_000, 60_000
+FLUSH_TOKENS, FLUSH_DOCS = 700_000, 60_000
 START = np.uint64(1)
 _KEY = np.uint64((1 << 48) - 1)
 
@@ -287,7 +287,7 @@ def scores(docs: DataFrame) -> DataFrame:
     followed, times = Known(keys, heavy["followed"].to_numpy(np.int64)), Known(keys, heavy["n"].to_numpy(np.int64))
     pairs = text.select("text").mapInArrow(_count_heavy_pairs(keys), "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).where(F.col("n") * HEAVY >= max(total, 1)).toPandas()
     hot = Known(pairs["pair"].to_numpy(np.int64).view(np.uint64), pairs["n"].to_numpy(np.int64))
-    count = width(docs.sparkSession)
+    count = 3 * width(docs.sparkSession)  # a task takes one part after the other
     # Row numbers stand for documents, whose ids may be null or repeat.
     rows = text.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
     packed = rows.mapInArrow(_pack(count, followed, hot), PACKED)

@@ -23,7 +23,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """64-bit hashes of words, remembered up to a bound."""
 
-    bound = 400_000
+    bound = 150_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.bound:
