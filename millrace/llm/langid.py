@@ -4,7 +4,7 @@ penalties, then calibrated by one temperature.
 
 Document frequencies come from every training row. The weights are fitted on the driver on
 a bounded sample: per language the ``per_lang`` training rows with the smallest hash of
-their id, of which every fifth serves for calibration. Prediction covers all rows and
+id and text, of which every fifth serves for calibration. Prediction covers all rows and
 whole texts.
 """
 
@@ -158,13 +158,17 @@ def fit(rows: DataFrame, p: Params = Params()) -> Model:
     own = found[found["feature"] >= 0]
     df[own["feature"].to_numpy(np.int64)] = own["n"].to_numpy()
     idf = np.log((1 + texts) / (1 + df)) + 1
-    langs = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(p.max_langs).collect()]
-    langs.sort()
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(p.max_langs).collect()}
+    langs = sorted(sizes)
     if not langs:
         return Model((), idf, np.zeros(((1 << p.bits) + 1, 0)), 1.0, p)
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
-    ids = rows.where((F.length("text") <= p.max_chars) & F.col("lang").isin(langs))
-    sample = ids.withColumn("place", F.row_number().over(order)).where(F.col("place") <= p.per_lang).toPandas()
+    # Twice the rows that are wanted pass a cut on the hash where they are read, so that the
+    # ranking gets a bounded number, however many there are.
+    shares = rows.sparkSession.createDataFrame([(lang, min(1.0, 2 * p.per_lang / n)) for lang, n in sizes.items()], "lang string, share double")
+    hashed = rows.where(F.length("text") <= p.max_chars).withColumn("h", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)))
+    cut = hashed.join(F.broadcast(shares), "lang").where(F.col("h") < F.col("share") * (1 << 40))
+    order = Window.partitionBy("lang").orderBy("h", "doc_id")
+    sample = cut.withColumn("place", F.row_number().over(order)).where(F.col("place") <= p.per_lang).select("text", "lang", "place").toPandas()
     sample = sample.sort_values(["place", "lang"], kind="stable")
     code = {lang: i for i, lang in enumerate(langs)}
     train, held, gold = [], [], []
