@@ -217,7 +217,12 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
 def one_of_each(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
     """One row of each component of ``docs``, as it is: that of the smallest doc_id, null being
     larger than any; of rows of one doc_id, one of the smallest hash of the text."""
-    rows = written(near_duplicates(docs, radius, shingle).select("doc_id", "version", "root"), "simhash-components")
+    return first_of_each(docs, near_duplicates(docs, radius, shingle))
+
+
+def first_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``one_of_each`` keeps, given the doc_id, version and root of each."""
+    rows = written(found.select("doc_id", "version", "root"), "near-components")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "version")
     first = rows.groupBy("root").agg(F.min(order).alias("first")).select("root", "first.doc_id", "first.version")
     same = F.expr("r.root = f.root AND r.doc_id <=> f.doc_id AND r.version = f.version")
