@@ -1,21 +1,28 @@
-"""Language-model scores by stupid backoff over bigrams.
+"""Language-model scores by stupid backoff over bigrams, computed relationally.
 
     S(v | u) = c(u v) / c(u)        if c(u v) >= MIN_COUNT
              = ALPHA * c(v) / N      otherwise
 
-A document's score is the sum of ln S over its words, the first after a start mark. Every count
-is over the whole corpus, and c(u) is how often u is followed by a word.
-
-The join of documents' bigrams with the count table goes by hash partitions. A task packs the
-(bigram, document, times) rows of its documents by partition and sorts them, so that a first word
-stands once for all that follow it; a partition counts its bigrams, scores its rows, and adds them
-up for each document. Rows that back off go on to the partition of their second word, where the
-unigram counts are. Words are known by 48-bit hashes.
-
-Words of at least a HEAVY-th of all (at most HEAVY of them, whatever the size) are counted first,
-and then the bigrams that reach this share. Their counts are few and sent to all tasks: rows of
-heavy bigrams are scored where they are read, and bigrams after other heavy words are dealt out by
-both words. So no partition gets more than its share and a HEAVY-th of the rows.
+A document's score is the sum of ln S over its words; the first follows a start mark, whose count is
+that of the documents with words. The bigram table is pruned below ``MIN_COUNT``: the corpus scores
+itself, so a bigram found once says nothing about the model. All counts are over the whole corpus.
+
+Documents are exploded into (bigram, document, times) rows, dealt out by hash once. In each hash
+partition the count table is a ``groupBy`` of these rows, joined back to them, and the joined scores
+are summed by document. One exchange is enough because of how a bigram is keyed. Words of a bounded
+dictionary (the most frequent of a bounded sample; their counts are exact and broadcast) have small
+codes, other words 64-bit hashes:
+
+    kind  words                key k     other o        scored there
+    P     both in dictionary   bigram    0              everything
+    V     v not                v         u              all but the share of a u that isn't either
+    U     u not, v in it       u         v              everything
+    X     neither, once more   u         v              the share of u, if the bigram was found
+
+The count of a word outside the dictionary is that of the V rows of its key, so it is at hand in
+the partition of the word. The dictionary, and which bigrams are hot, decide only how rows are dealt
+out, never a score. Bigrams that are hot in the sample are counted exactly, then scored where they
+are read; so a bigram of a third of all documents doesn't pile up in one task.
 """
 
 from __future__ import annotations
@@ -24,284 +31,237 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.store import width, written
-from millrace.llm.words import WordHashes, mix
+from millrace.llm.store import width
+from millrace.llm.words import mix
 
 ALPHA = 0.4
 MIN_COUNT = 2
-HEAVY = 5_000
-#: Tokens, and documents, that a task packs at a time.
+#: Documents of the sample, and the most words and bigrams that are taken from it.
+SAMPLE, WORDS, HOT = 2_000, 100_000, 5_000
+#: Times that a word of the dictionary, or a hot bigram, is found in the sample.
+WORD_TIMES, HOT_TIMES = 3, 20
+#: Tokens, and documents, that a task explodes at a time.
 FLUSH_TOKENS, FLUSH_DOCS = 700_000, 60_000
-START = np.uint64(1)
-_KEY = np.uint64((1 << 48) - 1)
+START = 0  # the start mark's code; other codes of the dictionary are 1 to WORDS
+#: Bits of a dictionary code, and what marks U rows, attribute rows and X rows.
+CODE, OTHER, ATTRIBUTE, TWICE = 20, 1 << 40, 1 << 41, 1 << 62
+#: Bits beside the row number for the times of a bigram, or for an attribute's tag.
+TIMES = 8
+BASE, ID, LENGTH = 1, 2, 3
+UNITS = 1_000_000_000  # of a base score
+
+
+class Codes(dict):
+    """Codes of words, remembered up to a bound: a dictionary word's number, or a negative hash."""
 
+    bound = 150_000
 
-def _six(keys: np.ndarray) -> bytes:
-    return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+    def __init__(self, dictionary: np.ndarray) -> None:
+        super().__init__()
+        self.number = {h: i + 1 for i, h in enumerate(dictionary.tolist())}
 
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= self.bound:
+            self.clear()
+        h = (xxhash.xxh3_64_intdigest(word) | 1 << 63) - (1 << 64)
+        code = self[word] = self.number.get(h, h)
+        return code
 
-def _eight(raw: bytes) -> np.ndarray:
-    six = np.frombuffer(raw, np.uint8).reshape(-1, 6)
-    return np.concatenate((six, np.zeros((len(six), 2), np.uint8)), axis=1).reshape(-1).view("<u8").astype(np.uint64)
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
 
-def _flushes(batches, columns: int) -> Iterator[tuple[list, list[np.ndarray], int]]:
-    """(the other columns' values, word hashes) of documents, some at a time."""
-    known = WordHashes()
+def _flushes(batches, columns: int, dictionary: np.ndarray) -> Iterator[tuple[list, list[np.ndarray]]]:
+    """(the other columns' values, word codes) of documents, some at a time."""
+    known = Codes(dictionary)
     rows: list = []
     words: list[np.ndarray] = []
     held = 0
     for batch in batches:
         for *own, text in zip(*(batch.column(i) for i in range(columns)), strict=True):
-            h = known.of((text.as_py() or "").encode("utf-8", "surrogatepass").split()) & _KEY
+            words.append(known.of((text.as_py() or "").encode("utf-8", "surrogatepass").split()))
             rows.append([x.as_py() for x in own])
-            words.append(np.where(h == START, START + np.uint64(1), h))
-            held += len(h)
+            held += len(words[-1])
             if held >= FLUSH_TOKENS or len(rows) >= FLUSH_DOCS:
-                yield rows, words, held
+                yield rows, words
                 rows, words, held = [], [], 0
-    yield rows, words, held
+    if rows:
+        yield rows, words
 
 
-def _pairs(words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _bigrams(words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First words, second words and document numbers."""
     lengths = np.array([len(w) for w in words], np.int64)
-    v = np.concatenate([*words, np.zeros(0, np.uint64)])
+    v = np.concatenate([*words, np.zeros(0, np.int64)])
     u = np.concatenate(([START], v[:-1])) if len(v) else v
-    starts = (np.cumsum(lengths) - lengths)[lengths > 0]
-    u[starts] = START
+    u[(np.cumsum(lengths) - lengths)[lengths > 0]] = START
     return u, v, np.repeat(np.arange(len(words)), lengths)
 
 
-def _summed(keys: list[np.ndarray], n: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Distinct rows of ``keys`` (the first sorts first), their sums, and each row's place among them."""
-    order = np.lexsort(keys[::-1])
-    ks = [k[order] for k in keys]
-    new = np.ones(len(order), bool)
-    if len(order):
-        new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in ks])
-    at = np.flatnonzero(new)
-    place = np.empty(len(order), np.int64)
-    place[order] = np.cumsum(new) - 1
-    return [k[at] for k in ks], np.add.reduceat(n[order], at) if len(at) else n[:0], place
+def _pair(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """The key of a bigram of the dictionary."""
+    return (u << CODE) | v
 
 
-class Known:
-    """Counts of some keys, looked up by array."""
+def _sampled(batches):
+    """(pair, u, v, n) of the sample: its words (u, hashes), and bigrams (u, v)."""
+    none = np.zeros(0, np.int64)
+    for _, words in _flushes(batches, 1, none):
+        u, v, _ = _bigrams(words)
+        keys, n = np.unique(v, return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(keys), bool)), pa.array(keys), pa.array(np.zeros(len(keys), np.int64)), pa.array(n)], names=["pair", "u", "v", "n"])
+        order = np.lexsort((v, u))
+        u, v = u[order], v[order]
+        new = np.ones(len(u), bool)
+        new[1:] = (u[1:] != u[:-1]) | (v[1:] != v[:-1])
+        at = np.flatnonzero(new)
+        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(at), bool)), pa.array(u[at]), pa.array(v[at]), pa.array(np.diff(np.append(at, len(u))))], names=["pair", "u", "v", "n"])
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray):
-        order = np.argsort(keys)
-        self.keys, self.counts = keys[order], counts[order]
 
-    def __call__(self, keys: np.ndarray) -> np.ndarray:
-        """The counts, 0 where there is none."""
-        if not len(self.keys):
-            return np.zeros(len(keys), np.int64)
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where(self.keys[at] == keys, self.counts[at], 0)
+def sampled(text: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of the dictionary's words, keys of the hot bigrams), at most WORDS and HOT."""
+    share = min(1.0, SAMPLE / max(text.count(), 1))
+    some = text.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < int(share * (1 << 30))).select("text")
+    found = some.mapInArrow(_sampled, "pair boolean, u bigint, v bigint, n bigint").groupBy("pair", "u", "v").agg(F.sum("n").alias("n"))
+    top = lambda of, times, most: found.where(of & (F.col("n") >= times)).orderBy(F.desc("n"), "u", "v").limit(most).select("u", "v").toPandas()
+    words = top(~F.col("pair"), WORD_TIMES, WORDS)["u"].to_numpy(np.int64)
+    pairs = top(F.col("pair"), HOT_TIMES, HOT)
+    number = {START: START} | {h: i + 1 for i, h in enumerate(words.tolist())}
+    hot = [_pair(number[u], number[v]) for u, v in zip(pairs["u"].tolist(), pairs["v"].tolist(), strict=True) if u in number and v in number]
+    return words, np.sort(np.array(hot, np.int64))
 
 
-def _pair_key(u: np.ndarray, v: np.ndarray) -> np.ndarray:
-    return mix(u * np.uint64(0x9E3779B97F4A7C15) + v)
+def _places(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(whether each key is in the sorted table, its place)."""
+    if not len(table):
+        return np.zeros(len(keys), bool), np.zeros(len(keys), np.int64)
+    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
+    return table[at] == keys, at
 
 
-def _count_words(batches):
-    """(word, times, times followed by a word) of a task's documents; the start mark is followed
-    once in each that has words."""
-    for _, words, _ in _flushes(batches, 1):
-        u, v, _ = _pairs(words)
-        keys, n, _ = _summed([np.concatenate((v, u))], np.concatenate((np.full(len(v), 1 << 32, np.int64), np.ones(len(u), np.int64))))
-        yield pa.RecordBatch.from_arrays([pa.array(keys[0].astype(np.int64)), pa.array(n >> 32), pa.array(n & ((1 << 32) - 1))], names=["word", "n", "followed"])
-
-
-def _count_heavy_pairs(heavy: np.ndarray) -> Callable:
-    known = Known(heavy, np.ones(len(heavy), np.int64))
+def _counted(dictionary: np.ndarray, hot: np.ndarray) -> Callable:
+    """For each partition, (code, n): code c >= 0 is a word's, and START's the documents with words;
+    -1 all words; -2 - i the i-th hot bigram."""
 
     def run(batches):
-        for _, words, _ in _flushes(batches, 1):
-            u, v, _ = _pairs(words)
-            both = (known(u) > 0) & (known(v) > 0)
-            keys, n, _ = _summed([_pair_key(u[both], v[both])], np.ones(both.sum(), np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(keys[0].view(np.int64)), pa.array(n)], names=["pair", "n"])
+        own, pairs, total = np.zeros(len(dictionary) + 1, np.int64), np.zeros(len(hot), np.int64), 0
+        for _, words in _flushes(batches, 1, dictionary):
+            u, v, _ = _bigrams(words)
+            own += np.bincount(v[v > 0], minlength=len(own))
+            own[START] += sum(len(w) > 0 for w in words)
+            total += len(v)
+            both = (u >= 0) & (v >= 0)
+            there, at = _places(hot, _pair(u[both], v[both]))
+            pairs += np.bincount(at[there], minlength=len(pairs))[: len(pairs)]
+        code = np.concatenate((np.arange(len(own)), [-1], -2 - np.arange(len(pairs))))
+        n = np.concatenate((own, [total], pairs))
+        yield pa.RecordBatch.from_arrays([pa.array(code[n > 0]), pa.array(n[n > 0])], names=["code", "n"])
 
     return run
 
 
-_FIELDS = [("p", pa.int32()), ("kind", pa.int32()), ("u", pa.binary()), ("runs", pa.binary()), ("v", pa.binary()), ("doc", pa.binary()), ("n", pa.binary()), ("rows", pa.binary()), ("ids", pa.binary()), ("score", pa.binary()), ("words", pa.binary())]
-_SCHEMA = pa.schema(_FIELDS)
-PACKED = ", ".join(f"{name} {'int' if t == pa.int32() else 'binary'}" for name, t in _FIELDS)
-PAIRS, SECOND, UNIGRAMS, SUMS = range(4)
-
-
-def _batch(rows: list[dict]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r.get(name) for r in rows], t) for name, t in _FIELDS], schema=_SCHEMA)
-
-
-def _steps(x: np.ndarray) -> bytes:
-    return np.diff(x, prepend=0).astype(np.int64).tobytes()
-
-
-def _unsteps(raw: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(raw, np.int64))
-
-
-def _sums(p: int, rows: np.ndarray, score: np.ndarray, words: np.ndarray) -> dict:
-    return {"p": p, "kind": SUMS, "rows": _steps(rows), "score": score.astype(np.float64).tobytes(), "words": words.astype(np.int64).tobytes()}
-
+def _exploded(dictionary: np.ndarray, counts: np.ndarray, hot: np.ndarray, times: np.ndarray, total: int) -> Callable:
+    """(k, o, w) rows of (row, doc_id, text): w is the row number with the bigram's times."""
 
-def _by_partition(part: np.ndarray, count: int) -> Iterator[tuple[int, np.ndarray]]:
-    order = np.argsort(part, kind="stable")
-    edges = np.searchsorted(part[order], np.arange(count + 1))
-    for p in range(count):
-        if edges[p] < edges[p + 1]:
-            yield p, order[edges[p] : edges[p + 1]]
-
-
-def _pack(count: int, followed: Known, pairs: Known) -> Callable:
-    """PAIRS rows for each partition, and SUMS rows of what is scored here."""
-
-    def run(batches):
-        for rows, words, _ in _flushes(batches, 3):
-            if not rows:
-                continue
-            u, v, d = _pairs(words)
-            (u, v, d), n, _ = _summed([u, v, d.astype(np.uint64)], np.ones(len(v), np.int64))
-            d = d.astype(np.int64)
-            c_u, c_uv = followed(u), pairs(_pair_key(u, v))
-            here = c_uv >= MIN_COUNT
-            score = np.bincount(d[here], n[here] * (np.log(c_uv[here]) - np.log(c_u[here])), len(rows))
-            row_ids = np.array([r[0] for r in rows], np.int64)
-            none = np.array([r[1] is None for r in rows])
-            ids = np.array([0 if r[1] is None else r[1] for r in rows], np.int64)
-            yield _batch([_sums(int(row_ids[0] % count), row_ids, score, np.array([len(w) for w in words])) | {"ids": _steps(ids), "runs": none.tobytes()}])
-            u, v, d, n, c_u = u[~here], v[~here], d[~here], n[~here], c_u[~here]
-            part = (np.where(c_u > 0, _pair_key(u, v), mix(u)) % np.uint64(count)).astype(np.int64)
-            out = []
-            for p, at in _by_partition(part, count):
-                first, runs = np.unique(u[at], return_counts=True)
-                docs, number = np.unique(d[at], return_inverse=True)
-                out.append({"p": p, "kind": PAIRS, "u": _six(first), "runs": runs.astype(np.uint32).tobytes(), "v": _six(v[at]), "doc": number.astype(np.uint16).tobytes(), "n": n[at].astype(np.uint32).tobytes(), "rows": _steps(row_ids[docs])})
-                if len(out) == 16:
-                    yield _batch(out)
-                    out = []
-            yield _batch(out)
-
-    return run
-
-
-def _joined(parts: list[tuple[np.ndarray, ...]]) -> list[np.ndarray]:
-    return [np.concatenate(x) for x in zip(*parts, strict=True)]
-
-
-def _score_pairs(count: int, total: int, followed: Known, heavy: Known) -> Callable:
-    """Counts a partition's bigrams and scores its rows; what backs off becomes SECOND rows."""
-
-    def run(table: pa.Table) -> pa.Table:
-        parts, out = [], []
-        for r in table.to_pylist():
-            if r["kind"] == SUMS:
-                out.append(r)
-                continue
-            rows = _unsteps(r["rows"])
-            parts.append((np.repeat(_eight(r["u"]), np.frombuffer(r["runs"], np.uint32)), _eight(r["v"]), rows[np.frombuffer(r["doc"], np.uint16)], np.frombuffer(r["n"], np.uint32).astype(np.int64)))
-        if parts:
-            u, v, row, n = _joined(parts)
-            del parts
-            (first, _), c, place = _summed([u, v], n)
-            c_uv = c[place]
-            c_u = followed(u)
-            own, own_n, own_at = _summed([first], c)
-            c_u = np.where(c_u > 0, c_u, own_n[own_at][place])
-            found = c_uv >= MIN_COUNT
-            c_v = heavy(v)
-            s = np.where(found, np.log(c_uv) - np.log(c_u), np.log(np.maximum(c_v, 1) * (ALPHA / total)))
-            back = ~found & (c_v == 0)
-            docs, at = np.unique(row[~back], return_inverse=True)
-            out.append(_sums(int(table["p"][0].as_py()), docs, np.bincount(at, (n * s)[~back], len(docs)), np.zeros(len(docs))))
-            v, row, n = v[back], row[back], n[back]
-            for p, sel in _by_partition((mix(v) % np.uint64(count)).astype(np.int64), count):
-                docs, number = np.unique(row[sel], return_inverse=True)
-                order = np.argsort(number, kind="stable")
-                runs = np.bincount(number, minlength=len(docs))
-                out.append({"p": p, "kind": SECOND, "v": _six(v[sel][order]), "runs": runs.astype(np.uint32).tobytes(), "n": n[sel][order].astype(np.uint32).tobytes(), "rows": _steps(docs)})
-        return pa.Table.from_batches([_batch(out)])
-
-    return run
-
-
-def _pack_unigrams(count: int) -> Callable:
     def run(batches):
-        for batch in batches:
-            word = batch.column(0).to_numpy().astype(np.uint64)
-            n = batch.column(1).to_numpy()
-            yield _batch([{"p": p, "kind": UNIGRAMS, "v": _six(word[at]), "n": n[at].astype(np.int64).tobytes()} for p, at in _by_partition((mix(word) % np.uint64(count)).astype(np.int64), count)])
+        for rows, words in _flushes(batches, 3, dictionary):
+            u, v, d = _bigrams(words)
+            # One row for each bigram of a document; two under one 48-bit key would only stay apart.
+            key = (d.astype(np.uint64) << np.uint64(48)) | (mix(u.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + v.astype(np.uint64)) >> np.uint64(16))
+            order = np.argsort(key)
+            u, v, d = u[order], v[order], d[order]
+            new = np.ones(len(d), bool)
+            new[1:] = (u[1:] != u[:-1]) | (v[1:] != v[:-1]) | (d[1:] != d[:-1])
+            at = np.flatnonzero(new)
+            u, v, d, n = u[at], v[at], d[at], np.diff(np.append(at, len(d)))
+            there, place = _places(hot, np.where((u >= 0) & (v >= 0), _pair(np.maximum(u, 0), np.maximum(v, 0)), -1))
+            c = times[place[there]]
+            s = np.where(c >= MIN_COUNT, np.log(np.maximum(c, 1)) - np.log(counts[u[there]]), np.log(ALPHA / total * counts[v[there]]))
+            base = np.bincount(d[there], n[there] * s, len(rows))
+            u, v, d, n = u[~there], v[~there], d[~there], n[~there]
+            most = (1 << TIMES) - 1
+            if len(n) and n.max() > most:
+                parts = -(-n // most)
+                last = np.cumsum(parts) - 1
+                left = n - (parts - 1) * most
+                u, v, d, n = np.repeat(u, parts), np.repeat(v, parts), np.repeat(d, parts), np.full(parts.sum(), most)
+                n[last] = left
+            row = np.array([r[0] for r in rows], np.int64) << TIMES
+            rare_u, rare_v = u < 0, v < 0
+            w = row[d] | n
+            twice = rare_u & rare_v
+            k = np.where(rare_v, v, np.where(rare_u, u, _pair(u, v)))
+            o = np.where(rare_v, u, np.where(rare_u, OTHER + v, 0))
+            ids = np.array([r[1] is not None for r in rows])
+            value = np.array([r[1] or 0 for r in rows], np.int64)
+            length = np.array([len(x) for x in words], np.int64)
+            home = ATTRIBUTE + (row >> TIMES)
+            columns = (
+                (k, u[twice], home, home[ids], home),
+                (o, TWICE | (v[twice] & (TWICE - 1)), np.rint(base * UNITS).astype(np.int64), value[ids], length),
+                (w, w[twice], row | BASE, row[ids] | ID, row | LENGTH),
+            )
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], names=["k", "o", "w"])
 
     return run
 
 
-def _score_second(total: int) -> Callable:
-    def run(table: pa.Table) -> pa.Table:
-        own, parts, sums, named = [], [], [], []
-        for r in table.to_pylist():
-            if r["kind"] == SUMS:
-                x = _unsteps(r["rows"]), np.frombuffer(r["score"]), np.frombuffer(r["words"], np.int64)
-                if r["ids"] is None:
-                    sums.append(x)
-                else:
-                    named.append((*x, _unsteps(r["ids"]), np.frombuffer(r["runs"], bool)))
-            elif r["kind"] == UNIGRAMS:
-                own.append((_eight(r["v"]), np.frombuffer(r["n"], np.int64)))
-            else:
-                parts.append((_eight(r["v"]), np.repeat(_unsteps(r["rows"]), np.frombuffer(r["runs"], np.uint32)), np.frombuffer(r["n"], np.uint32).astype(np.int64)))
-        if parts:
-            v, row, n = _joined(parts)
-            docs, at = np.unique(row, return_inverse=True)
-            sums.append((docs, np.bincount(at, n * np.log(Known(*_joined(own))(v) * (ALPHA / total)), len(docs)), np.zeros(len(docs), np.int64)))
-        out = []
-        if sums:
-            row, score, words = _joined(sums)
-            docs, at = np.unique(row, return_inverse=True)
-            out.append((docs, np.zeros(len(docs), np.int64), np.ones(len(docs), bool), np.bincount(at, score, len(docs)), np.zeros(len(docs), np.int64)))
-        for row, score, words, ids, none in named:
-            out.append((row, ids, none, score, words))
-        row, ids, none, score, words = _joined(out) if out else (np.zeros(0, np.int64),) * 2 + (np.zeros(0, bool), np.zeros(0), np.zeros(0, np.int64))
-        return pa.table({"row": row, "doc_id": pa.array(ids, pa.int64(), mask=none), "log_score": score, "n_words": words})
-
-    return run
+def _score(total: int) -> Column:
+    """The score of a row, given c, its bigram's count, own, its key's, and those of the dictionary."""
+    n = f"(w & {(1 << TIMES) - 1})"
+    back = f"ln({ALPHA / total!r}D * %s)"
+    return F.expr(f"""CASE WHEN k >= {ATTRIBUTE} THEN CASE WHEN {n} = {BASE} THEN o / {UNITS}D ELSE 0D END
+        WHEN k >= 0 THEN {n} * CASE WHEN c >= {MIN_COUNT} THEN ln(c) - ln(first_n) ELSE {back % "second_n"} END
+        WHEN o >= {TWICE} THEN CASE WHEN c >= {MIN_COUNT} THEN -{n} * ln(own) ELSE 0D END
+        WHEN o >= {OTHER} THEN {n} * CASE WHEN c >= {MIN_COUNT} THEN ln(c) - ln(own) ELSE {back % "second_n"} END
+        ELSE {n} * CASE WHEN c >= {MIN_COUNT} THEN ln(c) - coalesce(ln(first_n), 0D) ELSE {back % "own"} END END""")
 
 
 def scores(docs: DataFrame) -> DataFrame:
     """doc_id, n_words and log_score of each row of ``docs`` (doc_id, text), which are also the
     corpus. Words are the runs between ASCII white space, as they are. A null text, or one without
-    words, has n_words and log_score 0; every row counts in the corpus, repeated ones as often."""
-    text = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    counted = text.select("text").mapInArrow(_count_words, "word bigint, n bigint, followed bigint")
-    unigrams = written(counted.groupBy("word").agg(F.sum("n").alias("n"), F.sum("followed").alias("followed")), "backoff-unigrams")
-    total = unigrams.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-    # At most HEAVY words and the start mark, and as many bigrams.
-    heavy = unigrams.where((F.col("n") * HEAVY >= total) & (F.col("n") > 0) | (F.col("word") == int(START))).toPandas()
-    keys = heavy["word"].to_numpy(np.int64).astype(np.uint64)
-    followed, times = Known(keys, heavy["followed"].to_numpy(np.int64)), Known(keys, heavy["n"].to_numpy(np.int64))
-    pairs = text.select("text").mapInArrow(_count_heavy_pairs(keys), "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).where(F.col("n") * HEAVY >= max(total, 1)).toPandas()
-    hot = Known(pairs["pair"].to_numpy(np.int64).view(np.uint64), pairs["n"].to_numpy(np.int64))
-    count = 3 * width(docs.sparkSession)  # a task takes one part after the other
+    words, has n_words and log_score 0; every row counts in the corpus, repeated ones as often. Words
+    are known by 63-bit hashes."""
+    spark = docs.sparkSession
+    text = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    dictionary, hot = sampled(text)
+    counted = text.select("text").mapInArrow(_counted(dictionary, hot), "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n"))
+    found = {r["code"]: r["n"] for r in counted.collect()}  # at most WORDS + HOT + 2
+    total = max(found.get(-1, 0), 1)
+    counts = np.array([found.get(i, 0) for i in range(len(dictionary) + 1)], np.int64)
+    times = np.array([found.get(-2 - i, 0) for i in range(len(hot))], np.int64)
     # Row numbers stand for documents, whose ids may be null or repeat.
     rows = text.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    packed = rows.mapInArrow(_pack(count, followed, hot), PACKED)
-    first = packed.groupBy("p").applyInArrow(_score_pairs(count, total, followed, times), PACKED)
-    second = first.union(unigrams.where("n > 0").select("word", "n").mapInArrow(_pack_unigrams(count), PACKED))
-    sums = second.groupBy("p").applyInArrow(_score_second(max(total, 1)), "row bigint, doc_id bigint, log_score double, n_words bigint")
-    by_row = sums.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.sum("n_words").alias("n_words"), F.sum("log_score").alias("log_score"))
+    # Both sides of the join read this exchange: w holds all that either needs, so it is one and the same.
+    dealt = rows.mapInArrow(_exploded(dictionary, counts, hot, times, total), "k bigint, o bigint, w bigint").repartition(width(spark), "k")
+    table = dealt.groupBy("k", "o").agg(F.sum(F.col("w").bitwiseAND(F.lit((1 << TIMES) - 1))).alias("c"))
+    key = Window.partitionBy("k").orderBy("o").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    table = table.withColumn("own", F.sum(F.when(F.col("o") < OTHER, F.col("c"))).over(key))
+    unigrams = spark.createDataFrame(list(enumerate(counts.tolist())), "code bigint, n bigint")  # WORDS + 1 rows at most
+    first = F.broadcast(unigrams.select(F.col("code").alias("first"), F.col("n").alias("first_n")))
+    second = F.broadcast(unigrams.select(F.col("code").alias("second"), F.col("n").alias("second_n")))
+    pair = F.expr(f"k >= 0 AND k < {ATTRIBUTE}")
+    joined = dealt.join(table, ["k", "o"]).withColumns(
+        {
+            "first": F.when(pair, F.expr(f"shiftright(k, {CODE})")).when(F.expr(f"k < 0 AND o >= 0 AND o < {OTHER}"), F.col("o")),
+            "second": F.when(pair, F.col("k").bitwiseAND(F.lit((1 << CODE) - 1))).when(F.expr(f"k < 0 AND o >= {OTHER} AND o < {TWICE}"), F.col("o") - OTHER),
+        }
+    )
+    joined = joined.join(first, "first", "left").join(second, "second", "left")
+    tag = F.when(F.col("k") >= ATTRIBUTE, F.col("w").bitwiseAND(F.lit((1 << TIMES) - 1)))
+    scored = joined.select(F.expr(f"shiftright(w, {TIMES})").alias("row"), F.when(tag == ID, F.col("o")).alias("doc_id"), F.when(tag == LENGTH, F.col("o")).alias("n_words"), _score(total).alias("s"))
+    by_row = scored.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.sum("s").alias("log_score"))
     return by_row.select("doc_id", "n_words", "log_score")
 
 
 #: The query in DuckDB SQL, scores rounded to three places.
 ORACLE = rf"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
 t AS (SELECT rid, i, ws[i] AS v, CASE WHEN i > 1 THEN ws[i - 1] END AS u FROM (SELECT rid, ws, unnest(range(1, len(ws) + 1)) AS i FROM d)),
-uni AS (SELECT v, count(*) AS c FROM t GROUP BY v), pre AS (SELECT u, count(*) AS c FROM t GROUP BY u), bi AS (SELECT u, v, count(*) AS c FROM t GROUP BY u, v),
+uni AS (SELECT v, count(*) AS c FROM t GROUP BY v), pre AS (SELECT v AS u, c FROM uni UNION ALL SELECT NULL, count(*) FROM d WHERE len(ws) > 0), bi AS (SELECT u, v, count(*) AS c FROM t GROUP BY u, v),
 s AS (SELECT rid, sum(CASE WHEN bi.c >= {MIN_COUNT} THEN ln(bi.c) - ln(pre.c) ELSE ln(uni.c * ({ALPHA} / (SELECT count(*) FROM t))) END) AS log_score
   FROM t JOIN bi ON t.u IS NOT DISTINCT FROM bi.u AND t.v = bi.v JOIN pre ON t.u IS NOT DISTINCT FROM pre.u JOIN uni ON t.v = uni.v GROUP BY rid)
-SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, round(coalesce(log_score, 0.0), 3) AS log_score FROM d LEFT JOIN s USING (rid)"""
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, round(coalesce(log_score, 0.0), 3) AS log_score, round(coalesce(log_score / len(ws), 0.0), 4) AS score FROM d LEFT JOIN s USING (rid)"""

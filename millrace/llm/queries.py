@@ -50,7 +50,8 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = backoff.scores(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_words", F.round("log_score", 3).alias("log_score"))
+    mean = F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")).otherwise(0.0)
+    return out.select("doc_id", "n_words", F.round("log_score", 3).alias("log_score"), F.round(mean, 4).alias("score"))
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

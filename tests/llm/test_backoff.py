@@ -14,9 +14,9 @@ def brute(rows):
     uni, pre, bi = Counter(), Counter(), Counter()
     for _, w in docs:
         uni.update(w)
-        for u, v in zip([None, *w], w, strict=False):
-            pre[u] += 1
-            bi[u, v] += 1
+        pre.update(w)
+        pre[None] += bool(w)
+        bi.update(zip([None, *w], w, strict=False))
     total, out = sum(uni.values()), []
     for doc_id, w in docs:
         s = 0.0
@@ -30,10 +30,11 @@ def shown(df):
     return sorted(((r["doc_id"], r["n_words"], round(r["log_score"], 3) + 0.0) for r in df.collect()), key=str)
 
 
-@pytest.mark.parametrize(("heavy", "tokens"), [(5_000, 1_500_000), (20, 700), (1, 50)])
-def test_hard_rows(spark, monkeypatch, heavy, tokens):
-    monkeypatch.setattr(backoff, "HEAVY", heavy)
-    monkeypatch.setattr(backoff, "FLUSH_TOKENS", tokens)
+@pytest.mark.parametrize(("sample", "words", "hot", "tokens"), [(2_000, 100_000, 5_000, 1_500_000), (20, 50, 9, 700), (2_000, 0, 0, 50)])
+def test_hard_rows(spark, monkeypatch, sample, words, hot, tokens):
+    """Whatever the dictionary, the hot bigrams and the flushes are, the scores are the same."""
+    for name, value in (("SAMPLE", sample), ("WORDS", words), ("HOT", hot), ("FLUSH_TOKENS", tokens)):
+        monkeypatch.setattr(backoff, name, value)
     got, want = shown(backoff.scores(hard(spark))), brute(hard_rows())
     assert [x[:2] for x in got] == [x[:2] for x in want]
     assert [x[2] for x in got] == pytest.approx([x[2] for x in want], abs=0.002)
