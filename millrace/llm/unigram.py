@@ -44,6 +44,7 @@ class Counter:
     def __init__(self, pieces: list[tuple[str, float]], bytes_known: bool):
         self.automaton = ahocorasick.Automaton()
         self.single = {p for p, _ in pieces if len(p) == 1}
+        self.longest = max((len(p) for p, _ in pieces), default=1)
         for piece, score in pieces:
             self.automaton.add_word(piece, (len(piece), score))
         self.automaton.make_automaton()
@@ -53,28 +54,34 @@ class Counter:
         self._known: dict[str, tuple[int, float]] = {}
 
     def viterbi(self, part: str) -> tuple[int, float]:
-        """Pieces and score of the best path through ``part``."""
-        n = len(part)
-        ends: list[list[tuple[int, float]]] = [[] for _ in range(n)]
-        for at, match in self.automaton.iter(part):
-            ends[at].append(match)
-        best: list[float] = [0.0] * (n + 1)
-        count = [0] * (n + 1)
-        unknown_end = [False] * (n + 1)
-        for i in range(n):
+        """Pieces and score of the best path through ``part``. Only the places that the longest piece
+        reaches back to are held, so a long text without spaces takes no more memory than a short one."""
+        n, ring = len(part), self.longest + 1
+        best, count, unknown_end = [0.0] * ring, [0] * ring, [False] * ring
+        matches = self.automaton.iter(part)
+        at, match = next(matches, (n, None))
+        for i, ch in enumerate(part):
+            here = []
+            while at == i:
+                here.append(match)
+                at, match = next(matches, (n, None))
+            if len(here) > 1:
+                here.sort(reverse=True)
             top, pieces, unk = None, 0, False
-            for length, score in sorted(ends[i], reverse=True):
-                s = best[i + 1 - length] + score
+            for length, score in here:
+                k = (i + 1 - length) % ring
+                s = best[k] + score
                 if top is None or s > top:
-                    top, pieces, unk = s, count[i + 1 - length] + 1, False
-            ch = part[i]
+                    top, pieces, unk = s, count[k] + 1, False
             if ch not in self.single:
-                s = best[i] + self.unknown
+                k = i % ring
+                s = best[k] + self.unknown
                 if top is None or s > top:
-                    more = len(ch.encode("utf-8", "surrogatepass")) if self.bytes_known else 0 if unknown_end[i] else 1
-                    top, pieces, unk = s, count[i] + more, True
-            best[i + 1], count[i + 1], unknown_end[i + 1] = top, pieces, unk
-        return count[n], best[n]
+                    more = len(ch.encode("utf-8", "surrogatepass")) if self.bytes_known else 0 if unknown_end[k] else 1
+                    top, pieces, unk = s, count[k] + more, True
+            k = (i + 1) % ring
+            best[k], count[k], unknown_end[k] = top, pieces, unk
+        return count[n % ring], best[n % ring]
 
     def text(self, text: str) -> tuple[int, float]:
         """Pieces and score of a whole text; an empty text has none."""

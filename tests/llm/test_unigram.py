@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import sentencepiece
 from tokenizers import Tokenizer, models
@@ -39,6 +40,46 @@ def test_ties_and_unknown_pieces():
     assert unigram.Counter([("a▁a", -1.0), ("a", -1.0), ("▁", -1.0)], True).text("a a") == (2, -2.0)
 
 
+def brute(part, pieces, unknown):
+    """(pieces, score): all cuts of a text, by one table of whole prefixes; longer pieces first."""
+    best = [(0, 0.0)]
+    for end in range(1, len(part) + 1):
+        top = None
+        for start in range(end):
+            piece = part[start:end]
+            if piece in pieces:
+                found = best[start][0] + 1, best[start][1] + pieces[piece]
+            elif end - start == 1:
+                found = best[start][0] + len(piece.encode()), best[start][1] + unknown
+            else:
+                continue
+            if top is None or found[1] > top[1]:
+                top = found
+        best.append(top)
+    return best[-1]
+
+
+def test_counts_and_scores_against_all_prefixes():
+    rng, known = random.Random(6), unigram.vocabulary(queries.UNIGRAM_VOCABULARY)[0]
+    c = unigram.counter(queries.UNIGRAM_VOCABULARY)
+    for _ in range(60):
+        text = "".join(rng.choice(["a", "th", "e", "ing", " ", "é", "東", "1", ".", "qu", "zzz"]) for _ in range(rng.randrange(1, 40)))
+        want = brute("▁" + text.replace(" ", "▁"), dict(known), c.unknown)
+        got = c.text(text)
+        assert got[0] == want[0] and abs(got[1] - want[1]) < 1e-9, text
+
+
+def test_memory_of_a_long_text_without_spaces():
+    c = unigram.counter(queries.UNIGRAM_VOCABULARY)
+    c.viterbi("ab" * 100)
+    tracemalloc.start()
+    try:
+        c.viterbi("abcdefghij" * 30_000)
+        assert tracemalloc.get_traced_memory()[1] < 1 << 20
+    finally:
+        tracemalloc.stop()
+
+
 def test_hard_rows(spark):
     got = unigram.count_tokens(hard(spark), queries.UNIGRAM_VOCABULARY).select("doc_id", "n_tokens").collect()
     assert sorted(map(tuple, got), key=str) == sorted(((i, expected(t)) for i, t, *_ in hard_rows()), key=str)
