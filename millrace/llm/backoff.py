@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.store import width
+from millrace.llm.store import setting, width, written
 from millrace.llm.words import mix
 
 ALPHA = 0.4
@@ -237,7 +237,7 @@ def scores(docs: DataFrame) -> DataFrame:
     # Row numbers stand for documents, whose ids may be null or repeat.
     rows = text.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
     # Both sides of the join read this exchange: w holds all that either needs, so it is one and the same.
-    dealt = rows.mapInArrow(_exploded(dictionary, counts, hot, times, total), "k bigint, o bigint, w bigint").repartition(width(spark), "k")
+    dealt = rows.mapInArrow(_exploded(dictionary, counts, hot, times, total), "k bigint not null, o bigint not null, w bigint not null").repartition(width(spark), "k")
     table = dealt.groupBy("k", "o").agg(F.sum(F.col("w").bitwiseAND(F.lit((1 << TIMES) - 1))).alias("c"))
     key = Window.partitionBy("k").orderBy("o").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     table = table.withColumn("own", F.sum(F.when(F.col("o") < OTHER, F.col("c"))).over(key))
@@ -255,7 +255,8 @@ def scores(docs: DataFrame) -> DataFrame:
     tag = F.when(F.col("k") >= ATTRIBUTE, F.col("w").bitwiseAND(F.lit((1 << TIMES) - 1)))
     scored = joined.select(F.expr(f"shiftright(w, {TIMES})").alias("row"), F.when(tag == ID, F.col("o")).alias("doc_id"), F.when(tag == LENGTH, F.col("o")).alias("n_words"), _score(total).alias("s"))
     by_row = scored.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.sum("s").alias("log_score"))
-    return by_row.select("doc_id", "n_words", "log_score")
+    with setting(spark, "spark.sql.requireAllClusterKeysForCoPartition", "false"):  # partitions of k serve the join by k and o
+        return written(by_row, "backoff-scores").select("doc_id", "n_words", "log_score")
 
 
 #: The query in DuckDB SQL, scores rounded to three places.
