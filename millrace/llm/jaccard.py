@@ -1,12 +1,19 @@
-"""Near-duplicates by Jaccard similarity of five-word shingles, for the pipeline.
-
-Rows of equal shingle sets are one node. Candidates are found by MinHash: ``BANDS`` keys of
-``ROWS`` minima each, so that two nodes of similarity 0.8 share a key with a probability of
-0.99993, and those of higher similarity with more. Nodes that share keys are linked through the
-smallest of each key, never in pairs, into coarse groups. Within each group all similarities are
-computed exactly, and what reaches 4/5 is joined; a group reports a spanning forest.
-
-Each node's shingles are shuffled once, to its group.
+"""Near-duplicates by Jaccard similarity of five-word shingles, 0.8 or more, for the pipeline.
+
+Rows of equal shingle sets are one node. Candidates come from two searches. Nodes whose SimHash
+fingerprints (of the same shingles) are within two bits are found by operator 9's BK-trees; that is
+about half of the pairs at this similarity, whose fingerprints are some seven bits apart, and no
+tree can be pruned at a radius that holds the others. These come from MinHash: ``BANDS`` keys of
+``ROWS`` minima each, so that two nodes of similarity 0.8 share a key with a probability of 0.99993,
+and those of higher similarity with more. Nodes that share a key are linked through its smallest
+node, never in pairs, into coarse groups, and similarities within a group are computed exactly:
+
+- A group of at most ``SMALL`` nodes is compared as a whole in one task.
+- In a larger one, all nodes are compared with up to ``PIVOTS`` of them at a time, in blocks of
+  ``BLOCK`` nodes. Once a node has been a pivot, all its links are known. The first pivots are any;
+  the next ones are nodes outside of the group's largest component. When each of those has been a
+  pivot, no link between two components can be missing. So a hot group of near copies costs its
+  rows times a few pivots, not their square.
 """
 
 from __future__ import annotations
@@ -14,15 +21,18 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.simhash import _LOWER, components, first_of_each
+from millrace.llm.simhash import _LOWER, components, first_of_each, links
 from millrace.llm.store import bounded, written
 
 SHINGLE = 5
 BANDS, ROWS = 24, 5
 SEED = 42
+RADIUS = 2
+#: Nodes of a group that is compared in one task; pivots of a larger one at a time, and nodes of its blocks.
+SMALL, PIVOTS, BLOCK = 256, 32, 2_000
 
 _rng = np.random.default_rng(SEED)
 _XOR = _rng.integers(0, 1 << 64, BANDS * ROWS, np.uint64)
@@ -47,44 +57,65 @@ def band_keys(tokens: np.ndarray) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(raw[8 * ROWS * b : 8 * ROWS * (b + 1)], b) for b in range(BANDS)), np.uint64, BANDS)
 
 
+def fingerprint(tokens: np.ndarray) -> int:
+    """The SimHash of a set of hashes, 0 of the empty one."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(tokens), 65_536):
+        ones += np.unpackbits(tokens[at : at + 65_536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(tokens), bitorder="little").view(np.uint64)[0])
+
+
 def _signatures(batches):
-    """doc_id, version, node (a digest of the shingle set) and bands of (doc_id, text, version)."""
+    """doc_id, version, node (a digest of the shingle set), fp and bands of (doc_id, text, version)."""
     for batch in batches:
-        sets = [shingles(t.as_py()) for t in batch.column(1)]
-        nodes = np.fromiter((xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets), np.uint64, len(sets)).view(np.int64)
-        keys = np.array([band_keys(s) for s in sets], np.uint64).reshape(-1).view(np.int64)
-        bands = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS), pa.array(keys))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(nodes), bands], names=["doc_id", "version", "node", "bands"])
+        nodes, fps, keys = [], [], []
+        for t in batch.column(1):
+            s = shingles(t.as_py())
+            nodes.append(xxhash.xxh64_intdigest(s.tobytes(), SEED))
+            fps.append(fingerprint(s))
+            keys.append(band_keys(s))
+        bands = pa.ListArray.from_arrays(pa.array(np.arange(len(nodes) + 1, dtype=np.int32) * BANDS), pa.array(np.array(keys, np.uint64).reshape(-1).view(np.int64)))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(np.array(fps, np.uint64).view(np.int64)), bands], names=["doc_id", "version", "node", "fp", "bands"])
 
 
 def _sets(batches):
-    """grp, node and tokens of (grp, node, text)."""
+    """grp, n, node and tokens of (grp, n, node, text)."""
     for batch in batches:
-        tokens = pa.array([shingles(t.as_py()).view(np.int64) for t in batch.column(2)], pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), tokens], names=["grp", "node", "tokens"])
+        tokens = pa.array([shingles(t.as_py()).view(np.int64) for t in batch.column(3)], pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), tokens], names=["grp", "n", "node", "tokens"])
+
+
+class Overlap:
+    """Similarities of a set with some fixed ones."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = np.array([len(s) for s in sets], np.int64)
+        tokens = np.concatenate([*sets, np.zeros(0, np.uint64)])
+        order = np.argsort(tokens, kind="stable")
+        self.tokens, self.owner = tokens[order], np.repeat(np.arange(len(sets)), self.sizes)[order]
+
+    def near(self, tokens: np.ndarray) -> np.ndarray:
+        """Numbers of the fixed sets whose similarity with the set is 4/5 or more."""
+        low, high = np.searchsorted(self.tokens, tokens, "left"), np.searchsorted(self.tokens, tokens, "right")
+        found = high - low
+        at = np.repeat(low - np.concatenate(([0], np.cumsum(found)[:-1])), found) + np.arange(found.sum()) if len(found) else found
+        shared = np.bincount(self.owner[at], minlength=len(self.sizes))
+        # shared / (a + b - shared) >= 4 / 5; two empty sets are alike.
+        return np.flatnonzero(9 * shared >= 4 * (self.sizes + len(tokens)))
 
 
 def forest(nodes: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
     """(node, smallest node of its component) of all that are linked to a smaller one, where sets of
     similarity 4/5 and above are linked."""
-    sizes = np.array([len(s) for s in sets], np.int64)
-    ends = np.cumsum(sizes)
-    code = np.unique(np.concatenate(sets), return_inverse=True)[1] if len(sets) else np.zeros(0, np.int64)
-    owner = np.repeat(np.arange(len(sets)), sizes)[np.argsort(code, kind="stable")]
-    upto = np.concatenate(([0], np.cumsum(np.bincount(code)))) if len(code) else np.zeros(1, np.int64)
-    parent = list(range(len(nodes)))
+    overlap, parent = Overlap(sets), list(range(len(nodes)))
 
     def root(v: int) -> int:
         while parent[v] != v:
             parent[v] = v = parent[parent[v]]
         return v
 
-    for v in range(len(nodes)):
-        shared = np.zeros(len(nodes), np.int64)
-        for t in code[ends[v] - sizes[v] : ends[v]].tolist():
-            shared[owner[upto[t] : upto[t + 1]]] += 1  # a set holds a token once
-        # shared / (a + b - shared) >= 4 / 5
-        for w in np.flatnonzero((9 * shared >= 4 * (sizes + sizes[v])) & (np.arange(len(nodes)) < v)).tolist():
+    for v, s in enumerate(sets):
+        for w in overlap.near(s).tolist():
             a, b = root(v), root(w)
             if a != b:
                 low, high = (a, b) if nodes[a] < nodes[b] else (b, a)
@@ -92,27 +123,75 @@ def forest(nodes: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
     return [(n, nodes[root(v)]) for v, n in enumerate(nodes) if root(v) != v]
 
 
+def _unsigned(lists) -> list[np.ndarray]:
+    return [t.values.to_numpy(zero_copy_only=False).view(np.uint64) for t in lists]
+
+
 def _verified(group: pa.Table) -> pa.Table:
-    found = dict(zip(group["node"].to_pylist(), (t.values.to_numpy().view(np.uint64) for t in group["tokens"]), strict=True))
-    pairs = np.array(forest(list(found), list(found.values())), np.int64).reshape(-1, 2)
+    pairs = np.array(forest(group["node"].to_pylist(), _unsigned(group["tokens"])), np.int64).reshape(-1, 2)
     return pa.table({"node": pa.array(pairs[:, 0]), "root": pa.array(pairs[:, 1])})
 
 
+def _against_pivots(block: pa.Table) -> pa.Table:
+    """(a, b): links between the pivots and the other nodes of a block of (grp, block, node, pivot, tokens)."""
+    is_pivot = block["pivot"].to_numpy()
+    pivots, others = block.filter(pa.array(is_pivot)), block.filter(pa.array(~is_pivot))
+    names, overlap = pivots["node"].to_numpy(), Overlap(_unsigned(pivots["tokens"]))
+    out = [np.zeros((2, 0), np.int64)]
+    for node, tokens in zip(others["node"].to_pylist(), _unsigned(others["tokens"]), strict=True):
+        near = names[overlap.near(tokens)]
+        out.append(np.stack((np.full(len(near), node), near)))
+    a, b = np.concatenate(out, axis=1)
+    return pa.table({"a": a[a != b], "b": b[a != b]})
+
+
+def _resolved(sets: DataFrame) -> DataFrame:
+    """(node, root): the components of what is similar in the large groups of ``sets`` (grp, n, node, tokens)."""
+    by_hash = Window.partitionBy("grp").orderBy("h", "node")
+    some = lambda nodes: nodes.select("grp", "node", F.xxhash64("node").alias("h")).withColumn("place", F.row_number().over(by_hash)).where(F.col("place") <= PIVOTS).select("grp", "node")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("bigint")
+    others = sets.select("grp", F.pmod(F.xxhash64("node"), blocks).alias("block"), "node", F.lit(False).alias("pivot"), "tokens")
+    pivots = written(some(sets), "jaccard-pivots")
+    found = tried = None
+    while True:
+        chosen = sets.join(bounded(pivots), ["grp", "node"]).select("grp", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)).alias("block"), "node", F.lit(True).alias("pivot"), "tokens")
+        links_ = written(others.union(chosen).groupBy("grp", "block").applyInArrow(_against_pivots, "a bigint, b bigint"), "jaccard-pivot-links")
+        found = links_ if found is None else found.union(links_)
+        tried = pivots if tried is None else tried.union(pivots)
+        rooted = written(sets.select("grp", "node").join(components(found), "node", "left").select("grp", "node", F.coalesce("root", "node").alias("root")), "jaccard-rooted")
+        sizes = rooted.groupBy("grp", "root").agg(F.count("*").alias("n"))
+        largest = written(sizes.groupBy("grp").agg(F.max(F.struct("n", "root")).alias("most")).select("grp", F.col("most.root").alias("largest")), "jaccard-largest")
+        outside = rooted.join(largest, "grp").where("root <> largest").select("grp", "node").join(tried, ["grp", "node"], "left_anti")
+        pivots = written(some(outside), "jaccard-pivots")
+        if pivots.isEmpty():
+            return rooted.select("node", "root")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, version (xxhash64 of the text) and root (its component's smallest node) for each row of
-    ``docs`` (doc_id, text). Texts without words are all alike."""
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("version"))
-    signed = written(rows.mapInArrow(_signatures, "doc_id bigint, version bigint, node bigint, bands array<bigint>"), "jaccard-rows")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "version", "bands"))
-    nodes = written(signed.groupBy("node").agg(first.alias("first")).select("node", "first.doc_id", "first.version", "first.bands"), "jaccard-nodes")
-    keyed = nodes.select("node", F.explode("bands").alias("band"))
-    shared = written(keyed.groupBy("band").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1").select("band", "least"), "jaccard-bands")
-    edges = keyed.join(shared, "band").where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
-    coarse = written(components(edges).withColumnRenamed("root", "grp"), "jaccard-groups")
-    wanted = written(coarse.join(nodes.select("node", F.col("doc_id").alias("__id"), F.col("version").alias("__version")), "node"), "jaccard-wanted")
-    texts = rows.join(bounded(wanted), F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("version").eqNullSafe(F.col("__version"))).select("grp", "node", "text")
-    sets = written(texts.mapInArrow(_sets, "grp bigint, node bigint, tokens array<bigint>"), "jaccard-sets")
-    roots = written(sets.groupBy("grp").applyInArrow(_verified, "node bigint, root bigint"), "jaccard-roots")
+    ``docs`` (doc_id, text). Texts without words are all alike. Rows of one text are of one component,
+    whatever their ids, null or repeated, are; an empty table gives an empty one."""
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("version", F.xxhash64("text"))
+    signed = written(rows.mapInArrow(_signatures, "doc_id bigint, version bigint, node bigint, fp bigint, bands array<bigint>"), "jaccard-rows")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "version", "fp", "bands"))
+    nodes = written(signed.groupBy("node").agg(first.alias("first")).select("node", "first.doc_id", "first.version", "first.fp", "first.bands"), "jaccard-nodes")
+    # A fingerprint is a key like a band's; the trees link fingerprints.
+    keyed = nodes.select("node", F.explode(F.concat("bands", F.array("fp"))).alias("key"))
+    shared = written(keyed.groupBy("key").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1").select("key", "least"), "jaccard-keys")
+    edges = keyed.join(shared, "key").where("node <> least").select("node", "least").distinct()
+    of_fp = written(nodes.groupBy("fp").agg(F.min("node").alias("least")), "jaccard-fingerprints")
+    ends = [of_fp.select(F.col("fp").alias(x), F.col("least").alias(y)) for x, y in (("a", "x"), ("b", "y"))]
+    trees = links(of_fp.select("fp"), RADIUS).join(ends[0], "a").join(ends[1], "b").select("x", "y")
+    coarse = written(components(edges.union(trees).toDF("a", "b")).withColumnRenamed("root", "grp"), "jaccard-groups")
+    sizes = written(coarse.groupBy("grp").agg(F.count("*").alias("n")), "jaccard-sizes")
+    wanted = written(coarse.join(sizes, "grp").join(nodes.select("node", F.col("doc_id").alias("__id"), F.col("version").alias("__version")), "node"), "jaccard-wanted")
+    texts = rows.join(bounded(wanted), F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("version").eqNullSafe(F.col("__version"))).select("grp", "n", "node", "text")
+    # A row that repeats as a whole is taken once.
+    sets = written(texts.mapInArrow(_sets, "grp bigint, n bigint, node bigint, tokens array<bigint>").dropDuplicates(["node"]), "jaccard-sets")
+    roots = written(sets.where(F.col("n") <= SMALL).groupBy("grp").applyInArrow(_verified, "node bigint, root bigint"), "jaccard-roots")
+    large = sets.where(F.col("n") > SMALL)
+    if not large.isEmpty():
+        roots = roots.union(_resolved(large))
     return signed.join(roots, "node", "left").select("doc_id", "version", F.coalesce("root", "node").alias("root"))
 
 

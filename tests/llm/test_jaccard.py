@@ -1,5 +1,8 @@
+import random
 import re
 
+import pytest
+
 import corpus_pipeline
 from millrace.llm import jaccard
 from tests.llm.fixtures import SCHEMA, empty, hard, hard_rows, sentence
@@ -53,10 +56,32 @@ def test_hard_rows(spark):
     assert jaccard.near_duplicates(hard(spark)).count() == len(rows) and jaccard.near_duplicates(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize(("small", "pivots", "block"), [(1, 1, 3), (2, 4, 50)])
+def test_large_groups_by_pivots(spark, sf, monkeypatch, small, pivots, block):
+    """A chain of near copies, two stars that one text joins, and unlike texts with equal band keys."""
+    monkeypatch.setattr(jaccard, "SMALL", small)
+    monkeypatch.setattr(jaccard, "PIVOTS", pivots)
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    rng, texts = random.Random(11), []
+    for _ in range(3):
+        words = sentence(rng, 150, 5000).split()
+        for step in range(12):
+            texts.append(" ".join(words))
+            words[11 * step + 3] = f"c{step}"
+        star = sentence(rng, 150, 5000).split()
+        for k in range(10):
+            copy = list(star)
+            copy[rng.randrange(150)] = f"s{k}"
+            copy[rng.randrange(150)] = f"t{k}"
+            texts.append(" ".join(copy))
+    texts += [" ".join(texts[0].split()[:k]) for k in range(60, 150, 6)]
+    rows = list(enumerate(texts))
+    got = jaccard.near_duplicates(spark.createDataFrame(rows * 2, "doc_id bigint, text string").repartition(3)).distinct().collect()
+    assert parts((r["doc_id"], r["root"]) for r in got) == parts(zip(range(len(texts)), brute_roots(texts), strict=True))
+
+
 def test_recall_near_the_threshold(spark, sf):
     """Copies with replaced words: each pair of 0.8 and more is found, and the stage keeps one of each."""
-    import random
-
     rng, texts = random.Random(3), []
     for k in range(150):
         words = sentence(rng, 200, 5000).split()

@@ -8,25 +8,15 @@ import tiktoken
 
 import corpus_pipeline
 from millrace.llm import quality, queries
-from tests.llm import test_decontaminate, test_simhash, test_substrings
+from tests.llm import test_decontaminate, test_jaccard, test_substrings
 from tests.llm.fixtures import empty, hard
 
 NAMES = [name for name, _ in corpus_pipeline.STAGES]
 
 
 def brute_near(rows):
-    groups = dict(components(rows))
-    out, seen = [], set()
-    for r in sorted(rows, key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0)):
-        g = groups[r["doc_id"]]
-        if g not in seen:
-            seen.add(g)
-            out.append(r)
-    return out
-
-
-def components(rows):
-    return [(d, c) for d, _, c in test_simhash.brute([(r["doc_id"], r["text"]) for r in rows])]
+    """The first row of each group, of ``rows`` in order of doc_id."""
+    return [rows[k] for k in sorted(set(test_jaccard.brute_roots([r["text"] for r in rows])))]
 
 
 def brute_substrings(rows, length=20):
