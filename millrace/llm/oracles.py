@@ -32,20 +32,32 @@ def url_templates(rules: list[urls.Rule]) -> str:
     fits = [(r, f"((host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}'))") for r in sorted(rules, key=lambda r: (-len(r.text), r.text))]
     rule = "CASE " + " ".join(f"WHEN {f} THEN '{r.text}'" for r, f in fits) + " END"
     verdict = "CASE " + " ".join(f"WHEN {f} THEN '{r.verdict}'" for r, f in fits) + " END"
+    own = lambda x: x.replace("host ", "p.host ").replace("(host,", "(p.host,")
+    lists, tops = [], []
+    for k in range(urls.DEPTH + 1):  # down: l0 has empty templates, l1 those of one segment, ...
+        seg = f"segs[{k + 1}]"
+        lists.append(f"""k{k} AS (SELECT host, template, {seg} AS seg, sum(labelled) AS labelled FROM l{k} WHERE len(segs) > {k} AND NOT starts_with({seg}, '*') GROUP BY ALL),
+o{k} AS (SELECT host, template, seg FROM k{k} QUALIFY count(*) OVER (PARTITION BY host, template) > {urls.FANOUT} AND labelled < {urls.EVIDENCE}),
+l{k + 1} AS (SELECT l.host, segs, n, labelled, bad, l.template || CASE WHEN len(segs) > {k} THEN '/' || CASE WHEN o.seg IS NULL THEN {seg} ELSE '*' END ELSE '' END AS template FROM l{k} l LEFT JOIN o{k} o ON l.host = o.host AND l.template = o.template AND {seg} = o.seg)""")
+    for k in range(urls.DEPTH + 1, 0, -1):  # up: b7 has the templates themselves, b6 those of level 7 merged, ...
+        tops.append(f"""g{k} AS (SELECT host, branch, regexp_replace(branch, '/[^/]*\\z', '') AS parent, sum(labelled) AS l, sum(bad) AS b FROM b{k} WHERE depth = {k} GROUP BY ALL),
+h{k} AS (SELECT *, sum(l) OVER (PARTITION BY host, parent) AS pl, sum(b) OVER (PARTITION BY host, parent) AS pb FROM g{k}),
+m{k} AS (SELECT host, branch, parent FROM h{k} WHERE pow(CAST(b * pl - pb * l AS DOUBLE), 2) <= {urls.Z * urls.Z} * CAST(pb * (pl - pb) AS DOUBLE) * CAST(l AS DOUBLE)),
+b{k - 1} AS (SELECT b.host, template, labelled, bad, coalesce(parent, b.branch) AS branch, CASE WHEN parent IS NULL THEN depth ELSE {k - 1} END AS depth FROM b{k} b LEFT JOIN m{k} m ON b.host = m.host AND b.branch = m.branch)""")
     return rf"""WITH u AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '{urls.PARTS}', 1), {_AZ}) AS host, regexp_extract(coalesce(url, ''), '{urls.PARTS}', 2) AS path FROM pages),
-p AS (SELECT *, row_number() OVER () AS rid, list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''), lambda s: CASE WHEN regexp_matches(s, '[0-9]') THEN '*' || regexp_extract(s, '(\.[A-Za-z]+)?\z', 1) ELSE s END) AS segs FROM u),
-l AS (SELECT rid, host, unnest(segs) AS seg, unnest(range(0, len(segs))) AS depth FROM p),
-c AS (SELECT host, depth, seg, count(*) AS n FROM l GROUP BY ALL),
-rare AS (SELECT host, depth, seg FROM c QUALIFY sum(n) OVER (PARTITION BY host, depth) >= {urls.SEEN} AND 1000 * n < {urls.RARE} * sum(n) OVER (PARTITION BY host, depth) AND NOT starts_with(seg, '*')),
-n AS (SELECT rid, '/' || string_agg(CASE WHEN rare.seg IS NOT NULL THEN '*' ELSE l.seg END, '/' ORDER BY l.depth) AS template FROM l LEFT JOIN rare ON l.host = rare.host AND l.depth = rare.depth AND l.seg = rare.seg GROUP BY rid),
-t AS (SELECT p.*, coalesce(template, '/') AS template FROM p LEFT JOIN n USING (rid)),
+s AS (SELECT *, list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''), lambda s: CASE WHEN regexp_matches(s, '[0-9]') THEN '*' || regexp_extract(s, '(\.[A-Za-z]+)?\z', 1) ELSE s END) AS found FROM u),
 lab AS (SELECT doc_id AS page_id, max(quality = 0 OR toxic = 1) AS bad FROM labels GROUP BY doc_id),
-s AS (SELECT host, template, regexp_replace(template, '[^/]*\z', '') AS parent, count(bad) AS labelled, CAST(sum(CASE WHEN bad THEN 1 ELSE 0 END) AS BIGINT) AS bad FROM t LEFT JOIN lab USING (page_id) GROUP BY host, template),
-q AS (SELECT *, sum(labelled) OVER (PARTITION BY host, parent) AS pl, sum(bad) OVER (PARTITION BY host, parent) AS pb, sum(labelled) OVER (PARTITION BY host) AS hl, sum(bad) OVER (PARTITION BY host) AS hb, sum(labelled) OVER () AS al, sum(bad) OVER () AS ab FROM s),
-m AS (SELECT *, pow(CAST(bad * pl - pb * labelled AS DOUBLE), 2) <= {urls.Z * urls.Z} * CAST(pb * (pl - pb) AS DOUBLE) * labelled AS merged, (hb + {urls.PRIOR} * (CAST(ab + 1 AS DOUBLE) / (al + 2))) / (hl + {urls.PRIOR}) AS prior FROM q),
-v AS (SELECT host, template, CASE WHEN merged THEN pl ELSE labelled END AS n, (CASE WHEN merged THEN pb ELSE bad END + {urls.PRIOR} * prior) / (CASE WHEN merged THEN pl ELSE labelled END + {urls.PRIOR}) AS share FROM m)
-SELECT page_id, t.host, path, {rule.replace("host ", "t.host ").replace("(host,", "(t.host,")} AS rule, coalesce({verdict.replace("host ", "t.host ").replace("(host,", "(t.host,")}, CASE WHEN n > 0 AND share >= {urls.REJECT} THEN 'block' ELSE 'allow' END) AS verdict
-FROM t LEFT JOIN v ON t.host = v.host AND t.template = v.template"""
+p AS (SELECT s.page_id, host, path, bad, CASE WHEN len(found) > {urls.DEPTH} THEN list_append(found[1:{urls.DEPTH}], '**') ELSE found END AS segs FROM s LEFT JOIN lab USING (page_id)),
+l0 AS (SELECT host, segs, count(*) AS n, count(bad) AS labelled, count(*) FILTER (WHERE bad) AS bad, '' AS template FROM p GROUP BY host, segs),
+{", ".join(lists)},
+b{urls.DEPTH + 1} AS (SELECT host, template, sum(labelled) AS labelled, sum(bad) AS bad, template AS branch, length(template) - length(replace(template, '/', '')) AS depth FROM l{urls.DEPTH + 1} GROUP BY host, template),
+{", ".join(tops)},
+w AS (SELECT host, branch, sum(labelled) AS labelled, sum(bad) AS bad FROM b0 GROUP BY host, branch),
+x AS (SELECT *, sum(labelled) OVER (PARTITION BY host) AS hl, sum(bad) OVER (PARTITION BY host) AS hb, CAST(sum(bad) OVER () + 1 AS DOUBLE) / (sum(labelled) OVER () + 2) AS q FROM w),
+y AS (SELECT host, branch, q, labelled, (bad + {urls.PRIOR} * ((hb - bad + {urls.PRIOR} * q) / (hl - labelled + {urls.PRIOR}))) / (labelled + {urls.PRIOR}) AS share FROM x),
+v AS (SELECT t.host, t.segs, y.labelled > 0 AND share >= {urls.RATIO} * q / (1 + ({urls.RATIO} - 1) * q) AS reject FROM l{urls.DEPTH + 1} t JOIN b0 ON t.host = b0.host AND t.template = b0.template JOIN y ON b0.host = y.host AND b0.branch = y.branch)
+SELECT page_id, p.host, path, {own(rule)} AS rule, coalesce({own(verdict)}, CASE WHEN reject THEN 'block' ELSE 'allow' END) AS verdict
+FROM p JOIN v ON p.host = v.host AND p.segs = v.segs"""
 
 
 ORACLES = {
