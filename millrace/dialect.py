@@ -10,6 +10,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from millrace.functions.scalar import like_regex
+from millrace.operators.layout import Key
 
 
 class DialectError(ValueError):
@@ -76,7 +77,7 @@ class Statement:
     fmt: str = ""
     location: str = ""
     options: dict[str, str] = field(default_factory=dict)
-    keys: list[str] = field(default_factory=list)
+    keys: list[Key] = field(default_factory=list)
     method: str = "bst"
     unique: bool = False
     table: str = ""
@@ -213,9 +214,11 @@ def _create(r: _Reader) -> Statement:
             s.method = r.name()
         r.expect("(")
         while True:
-            s.keys.append(r.name())
-            r.accept("asc") or r.accept("desc")
-            r.accept("null", "first") or r.accept("null", "last")
+            name, descending = r.name(), not r.accept("asc") and r.accept("desc")
+            first = r.accept("null", "first")
+            if not first:
+                r.accept("null", "last")
+            s.keys.append(Key(name, descending, first))
             if not r.accept(","):
                 break
         r.expect(")")
@@ -225,8 +228,8 @@ def _create(r: _Reader) -> Statement:
     r.accept("external")
     r.expect("table")
     s = Statement("create", r.name())
-    if r.accept("as"):
-        return Statement("create_as", s.name, r.rest(), fmt="parquet")
+    if r.peek().word in ("as", "using"):
+        return _create_as(r, s)
     r.expect("(")
     while True:
         s.columns.append((r.name(), r.name()))
@@ -238,13 +241,28 @@ def _create(r: _Reader) -> Statement:
     r.expect(")")
     r.expect("using")
     s.fmt = r.name()
-    r.expect("location")
-    s.location = r.string()
+    if s.fmt != "mem":
+        r.expect("location")
+        s.location = r.string()
     if r.accept("with"):
         s.options = _options(r)
     return _last(r, s)
 
 
+def _create_as(r: _Reader, s: Statement) -> Statement:
+    """``create table t [using f [location 'l'] [with (..)]] as select ..``"""
+    s.kind, s.fmt = "create_as", "parquet"
+    if r.accept("using"):
+        s.fmt = r.name()
+        if r.accept("location"):
+            s.location = r.string()
+        if r.accept("with"):
+            s.options = _options(r)
+    r.expect("as")
+    s.query = r.rest()
+    return s
+
+
 def _options(r: _Reader) -> dict[str, str]:
     out = {}
     r.expect("(")
@@ -262,17 +280,99 @@ def _options(r: _Reader) -> dict[str, str]:
 _AFTER_ORDER = {"limit", "union", "intersect", "except", "offset", "rows", "range"}
 
 
-def rewrite(ts: list[Token], integral: Callable[[str], bool] | None = None, strict_like: bool = False) -> str:
-    """Spark SQL of a query. ``integral`` tells whether a column name has an integer type, for
-    division; ``strict_like`` gives LIKE the dialect's wildcards."""
+#: Types of expressions of a query: SQL of a SELECT to the type names of its columns, None where it has no meaning.
+Typer = Callable[[str], list[str] | None]
+#: A function's name and the types of its arguments to its SQL text, cut where arguments go; None for one that is Spark's.
+Caller = Callable[[str, list[str]], list[str]]
+
+
+def rewrite(ts: list[Token], types: Typer | None = None, strict_like: bool = False, functions: tuple[Callable[[str], bool], Caller] | None = None) -> str:
+    """Spark SQL of a query. ``types`` gives the types of operands in their query, for division and
+    for functions; ``strict_like`` gives LIKE the dialect's wildcards; ``functions`` are (whether a name is a
+    user's function, what a call of it stands for)."""
     ts = _group_empty(_union_join(ts))
     if strict_like:
         ts = _like(ts)
-    ts = _division(ts, integral or (lambda name: False))
     ts = _random(ts)
     ts = [Token("op", "<>") if t.text in ("~=", "^=") else t for t in ts]
     ts = [Token("string", quote(literal(t.text))) if t.kind == "string" else t for t in ts]
-    return text_of(_order(ts))
+    ts = _order(ts)
+    if functions:
+        ts = _calls(ts, types or (lambda text: None), *functions)
+    return text_of(_division(ts, types or (lambda text: None)))
+
+
+_ENDS = {"union", "intersect", "except", "minus"}
+_AFTER_FROM = {"where", "group", "having", "order", "limit", "window", "qualify", "offset", *_ENDS}
+
+
+def _sources(ts: list[Token], at: int) -> list[tuple[str, str]]:
+    """(WITH clause, FROM clause) that the expression at ``at`` may name columns of: its own query's,
+    then with those of the queries around it, then none."""
+    head, depth = "", 0
+    for k, t in enumerate(ts[: at + 1] if ts[0].word == "with" else []):
+        depth += (t.text == "(") - (t.text == ")")
+        if not depth and t.word == "select":
+            head = text_of(ts[:k]) + " "
+            break
+    out: list[tuple[str, str]] = []
+    depth, begin = 0, 1
+    for i in range(at - 1, -1, -1):  # out of the brackets, one query after the other
+        t = ts[i]
+        depth += (t.text == ")") - (t.text == "(")
+        if t.word == "select" and depth <= 0 and depth < begin:
+            begin = depth
+            clause = _from(ts, i)
+            if clause:
+                out.append((head, (out[-1][1] + ", " if out else " from ") + clause))
+    return [*out, (head, "")]
+
+
+def _from(ts: list[Token], select: int) -> str:
+    """The FROM clause of the query whose SELECT is at ``select``."""
+    depth, begin = 0, None
+    for k in range(select + 1, len(ts)):
+        t = ts[k]
+        if t.text == ")" and not depth or not depth and (t.word in _ENDS and ts[k + 1 : k + 2] and ts[k + 1].word != "join" or begin is not None and t.word in _AFTER_FROM):
+            return text_of(ts[begin:k]) if begin is not None else ""
+        depth += (t.text == "(") - (t.text == ")")
+        if t.word == "from" and not depth and begin is None:
+            begin = k + 1
+    return text_of(ts[begin:]) if begin is not None else ""
+
+
+def _types(ts: list[Token], at: int, operands: list[str], types: Typer) -> list[str] | None:
+    for head, clause in _sources(ts, at):
+        found = types(f"{head}select {', '.join(f'{x} as x{i}' for i, x in enumerate(operands))}{clause}")
+        if found is not None:
+            return found
+    if len(operands) > 1:  # one may be grouped and the other not
+        each = [_types(ts, at, [x], types) for x in operands]
+        return [x[0] for x in each] if all(each) else None
+    return None
+
+
+def _calls(ts: list[Token], types: Typer, known: Callable[[str], bool], call: Caller) -> list[Token]:
+    """Calls of users' functions, the innermost first, as what they stand for."""
+    while True:
+        at = next((i for i in range(len(ts) - 2, -1, -1) if ts[i].kind == "name" and ts[i + 1].text == "(" and known(ts[i].word) and (not i or ts[i - 1].text != ".")), None)
+        if at is None:
+            return ts
+        close = _close(ts, at + 1)
+        arguments, depth = [[]], 0
+        for t in ts[at + 2 : close]:
+            depth += (t.text == "(") - (t.text == ")")
+            if t.text == "," and not depth:
+                arguments.append([])
+            else:
+                arguments[-1].append(t)
+        texts = [text_of(a) for a in arguments if a]
+        kinds = _types(ts, at, texts, types) if texts else []
+        if kinds is None:
+            raise DialectError(f"can't tell the types of {ts[at].text}({', '.join(texts)})")
+        parts = call(ts[at].word, kinds)
+        text = "".join(p if k % 2 == 0 else f"({texts[int(p)]})" for k, p in enumerate(parts))
+        ts = ts[:at] + [Token("raw", f"({text})")] + ts[close + 1 :]
 
 
 def _op(*texts: str) -> list[Token]:
@@ -318,17 +418,38 @@ def _union_join(ts: list[Token]) -> list[Token]:
     while i < len(ts):
         if ts[i].word == "union" and i + 1 < len(ts) and ts[i + 1].word == "join":
             out += _op("full", "outer", "join")
-            i += 2
-            while i < len(ts) and ts[i].kind in ("name", "quoted") and ts[i].word not in {"where", "group", "order", "having", "limit", "union", "join", "inner", "left", "right", "full", "cross", "natural"} or i < len(ts) and ts[i].text == ".":
-                out.append(ts[i])
-                i += 1
-            out += _op("on", "false")
+            end = _relation(ts, i + 2)
+            out += _union_join(ts[i + 2 : end]) + _op("on", "false")
+            i = end
             continue
         out.append(ts[i])
         i += 1
     return out
 
 
+#: Words that can't be the alias of a relation.
+_NO_ALIAS = {"where", "group", "order", "having", "limit", "union", "intersect", "except", "join", "inner", "left", "right", "full", "cross", "natural", "on", "using"}
+
+
+def _relation(ts: list[Token], at: int) -> int:
+    """Where the relation at ``at`` ends: a name or a query in brackets, with its alias."""
+    if at >= len(ts):
+        raise DialectError("a join has no right side")
+    if ts[at].text == "(":
+        at = _close(ts, at) + 1
+    else:
+        at += 1
+        while at + 1 < len(ts) and ts[at].text == ".":
+            at += 2
+    if at < len(ts) and ts[at].word == "as":
+        at += 1
+    if at < len(ts) and ts[at].kind in ("name", "quoted") and ts[at].word not in _NO_ALIAS:
+        at += 1
+        if at < len(ts) and ts[at].text == "(":
+            at = _close(ts, at) + 1
+    return at
+
+
 def _group_empty(ts: list[Token]) -> list[Token]:
     """``group by ()`` -> ``group by grouping sets (())``."""
     out = list(ts)
@@ -341,7 +462,9 @@ def _group_empty(ts: list[Token]) -> list[Token]:
 def _like(ts: list[Token]) -> list[Token]:
     out = []
     for i, t in enumerate(ts):
-        if t.word == "like" and i + 1 < len(ts) and ts[i + 1].kind == "string":
+        if t.word == "like":
+            if i + 1 == len(ts) or ts[i + 1].kind != "string" or i + 2 < len(ts) and ts[i + 2].text in ("||", "+"):
+                raise DialectError("LIKE takes a string constant here")
             out.append(Token("name", "rlike"))
         elif t.kind == "string" and i and ts[i - 1].word == "like":
             out.append(Token("string", quote(like_regex(literal(t.text)))))
@@ -350,30 +473,53 @@ def _like(ts: list[Token]) -> list[Token]:
     return out
 
 
-def _division(ts: list[Token], integral: Callable[[str], bool]) -> list[Token]:
-    """``a / b`` of two integer operands -> ``a div b``. An operand is a literal, a column or a
-    bracket or aggregate of integers."""
-    out = list(ts)
+def _division(ts: list[Token], types: Typer) -> list[Token]:
+    """``a / b`` of two integers -> ``a div b``; a is all of the product that stands before."""
+    out, depth, places = list(ts), 0, []
     for i, t in enumerate(ts):
-        if t.text == "/" and t.kind == "op" and _whole(_before(ts, i), integral) and _whole(_after(ts, i), integral):
+        depth += (t.text == "(") - (t.text == ")")
+        if t.text == "/" and t.kind == "op":
+            places.append((-depth, i))
+    for _, i in sorted(places):  # the innermost query first: what it gives has then its type
+        sides = [_before(out, i), _after(out, i)]
+        if all(x.kind == "number" for s in sides for x in s if x.kind != "op" and x.text != "div"):
+            whole = all(x.text.isdigit() for s in sides for x in s if x.kind == "number") and not any(x.text == "/" for s in sides for x in s)
+        else:
+            kinds = _types(out, i, [text_of(s) for s in sides], types)
+            whole = kinds is not None and all(k in ("tinyint", "smallint", "int", "bigint") for k in kinds)
+        if whole:
             out[i] = Token("name", "div")
     return out
 
 
 def _before(ts: list[Token], i: int) -> list[Token]:
-    j = i - 1
-    if j >= 0 and ts[j].text == ")":
-        j = _open(ts, j)
-        if j and ts[j - 1].kind == "name":
-            j -= 1
-    while j >= 2 and ts[j - 1].text == ".":
-        j -= 2
-    return ts[max(j, 0) : i]
+    """The product that ends before ``i``."""
+    j = i
+    while True:
+        j -= 1
+        if j >= 0 and ts[j].text == ")":
+            j = _open(ts, j)
+            if j and ts[j - 1].kind == "name" and ts[j - 1].word not in _NO_CALL:
+                j -= 1
+        elif j >= 0 and ts[j].word == "end":
+            depth = 1
+            while j > 0 and depth:
+                j -= 1
+                depth += (ts[j].word == "end") - (ts[j].word == "case")
+        while j >= 2 and ts[j - 1].text == ".":
+            j -= 2
+        if j < 1 or ts[j - 1].text not in ("*", "/", "%", "div") or ts[j - 1].kind == "string":
+            return ts[max(j, 0) : i]
+        j -= 1
+
+
+#: Words before a bracket that isn't a call's.
+_NO_CALL = {"select", "where", "and", "or", "not", "in", "on", "by", "having", "when", "then", "else", "case", "between", "distinct", "from", "like", "is", "div"}
 
 
 def _after(ts: list[Token], i: int) -> list[Token]:
     j = i + 1
-    while j < len(ts) and ts[j].text in "+-":
+    while j < len(ts) and ts[j].text in ("+", "-"):
         j += 1
     while j + 2 < len(ts) and ts[j + 1].text == ".":
         j += 2
@@ -381,26 +527,49 @@ def _after(ts: list[Token], i: int) -> list[Token]:
         j = _close(ts, j + 1)
     elif j < len(ts) and ts[j].text == "(":
         j = _close(ts, j)
+    elif j < len(ts) and ts[j].word == "case":
+        depth = 1
+        while j + 1 < len(ts) and depth:
+            j += 1
+            depth += (ts[j].word == "case") - (ts[j].word == "end")
     return ts[i + 1 : j + 1]
 
 
-def _whole(operand: list[Token], integral: Callable[[str], bool]) -> bool:
-    if not operand:
-        return False
-    head = operand[0].word
-    if head in ("avg", "cast", "case"):
-        return False
-    if head == "count":
-        return True
-    for k, t in enumerate(operand):
-        nxt = operand[k + 1].text if k + 1 < len(operand) else ""
-        if t.kind == "number" and not t.text.isdigit():
-            return False
-        if t.kind == "string" or t.text == "/":
-            return False
-        if t.kind in ("name", "quoted") and nxt not in (".", "(") and not integral(t.text.strip("`").lower()):
-            return False
-    return True
+def equalities(ts: list[Token]) -> tuple[int, dict[str, str]] | None:
+    """Of a query of one table, the table's place among the tokens and the columns that its WHERE
+    compares with a constant in each row that it keeps, with the constant's text; None for other queries."""
+    if not ts or ts[0].word != "select":
+        return None
+    depth, at, where, end = 0, None, None, len(ts)
+    for k, t in enumerate(ts):
+        depth += (t.text == "(") - (t.text == ")")
+        if depth or t.kind != "name":
+            continue
+        if t.word == "from" and at is None:
+            at = k + 1
+        elif t.word == "where" and where is None:
+            where = k
+        elif t.word in _ENDS or t.word == "join":
+            return None
+        elif t.word in _AFTER_FROM and where is not None and end == len(ts):
+            end = k
+    if at is None or where is None or ts[at].kind not in ("name", "quoted") or _relation(ts, at) != where:
+        return None
+    out, items, depth = {}, [[]], 0
+    for t in ts[where + 1 : end]:
+        depth += (t.text == "(") - (t.text == ")")
+        if t.word in ("or", "between", "not", "case") and not depth:
+            return None
+        if t.word == "and" and not depth:
+            items.append([])
+        else:
+            items[-1].append(t)
+    for item in items:
+        if len(item) == 3 or len(item) == 5 and item[1].text == ".":
+            name, op, value = item[-3:]
+            if op.text == "=" and name.kind in ("name", "quoted") and value.kind in ("string", "number"):
+                out[name.text.strip("`").lower()] = value.text
+    return at, out
 
 
 def _order(ts: list[Token]) -> list[Token]:

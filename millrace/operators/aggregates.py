@@ -26,13 +26,11 @@ def grouping_sets(df: DataFrame, sets: list[list[str]], *aggs: Column) -> DataFr
     return df.groupingSets([[F.col(k) for k in s] for s in sets], *[F.col(k) for k in keys]).agg(*aggs)
 
 
-def salted(df: DataFrame, keys: list[str], partial: list[Column], final: list[Column], salts: int = 32) -> DataFrame:
-    """Three-phase grouping: by keys and a salt, then by the keys. For aggregates whose state
-    is large (collected or distinct values) where a key may hold much of the input; plain sums
-    and counts are combined before the shuffle anyway. Rows get their salt from their content, so
-    a retried task deals them alike."""
-    salt = F.pmod(F.xxhash64(*df.columns), F.lit(salts))
-    return df.groupBy(*keys, salt.alias("__salt")).agg(*partial).groupBy(*keys).agg(*final)
+def count_distinct(df: DataFrame, keys: list[str], value: str, distinct: str, rows: str) -> DataFrame:
+    """Three-phase grouping: by keys and value, so that a key of much of the input is dealt out by its
+    values, then by the keys: the distinct values that aren't null, and the rows, of each key."""
+    each = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__rows"))
+    return each.groupBy(*keys).agg(F.count(value).alias(distinct), F.sum("__rows").alias(rows))
 
 
 def distinct(df: DataFrame, columns: list[str] | None = None) -> DataFrame:

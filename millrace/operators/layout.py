@@ -8,7 +8,7 @@ equality lookup opens few files and row groups. The description lives beside the
 from __future__ import annotations
 
 import json
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,14 +32,34 @@ def range_partitioned(df: DataFrame, path: str, keys: list[str], ranges: int) ->
     df.repartitionByRange(ranges, *keys).sortWithinPartitions(*keys).write.mode("overwrite").parquet(path)
 
 
+@dataclass(frozen=True)
+class Key:
+    """A key of an index, with its order."""
+
+    name: str
+    descending: bool = False
+    nulls_first: bool = False
+
+    def order(self) -> Column:
+        c = F.col(f"`{self.name}`")
+        if self.descending:
+            return c.desc_nulls_first() if self.nulls_first else c.desc_nulls_last()
+        return c.asc_nulls_first() if self.nulls_first else c.asc_nulls_last()
+
+
 @dataclass(frozen=True)
 class Index:
     name: str
     table: str
-    keys: tuple[str, ...]
+    keys: tuple[Key, ...]
     method: str
     unique: bool
     path: str
+    options: dict[str, str] = field(default_factory=dict)
+
+    @property
+    def columns(self) -> tuple[str, ...]:
+        return tuple(k.name for k in self.keys)
 
     def saved(self, spark: SparkSession) -> None:
         write_text(spark, f"{self.path}.index.json", json.dumps(asdict(self)))
@@ -47,40 +67,62 @@ class Index:
 
 def load(spark: SparkSession, path: str) -> Index:
     raw = json.loads(read_text(spark, f"{path}.index.json"))
-    return Index(**raw | {"keys": tuple(raw["keys"])})
+    return Index(**raw | {"keys": tuple(Key(**k) for k in raw["keys"])})
 
 
-def create(df: DataFrame, name: str, table: str, keys: list[str], path: str, method: str = "bst", unique: bool = False, ranges: int | None = None) -> Index:
-    if method not in METHODS:
-        raise IndexingError(f"method {method!r}; known: {METHODS}")
-    missing = [k for k in keys if k not in df.columns]
-    if missing:
-        raise IndexingError(f"{table} has no column {missing}")
-    if unique and not df.groupBy(*keys).count().where("count > 1").isEmpty():
-        raise IndexingError(f"{name}: keys repeat")
-    spark = df.sparkSession
-    writer = df.repartitionByRange(ranges or int(spark.conf.get("spark.sql.shuffle.partitions")), *keys).sortWithinPartitions(*keys).write.mode("overwrite")
-    for k in keys if method in ("hash", "bitmap") else ():
+def _write(df: DataFrame, index: Index, mode: str) -> None:
+    """Rows in files that each hold one range of the keys, in their order; the option ``ranges`` is
+    their number."""
+    order = [k.order() for k in index.keys]
+    ranges = int(index.options.get("ranges", df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    writer = df.repartitionByRange(ranges, *order).sortWithinPartitions(*order).write.mode(mode)
+    for k in index.columns if index.method in ("hash", "bitmap") else ():
         writer = writer.option(f"parquet.bloom.filter.enabled#{k}", "true")
-    writer.parquet(path)
-    index = Index(name, table, tuple(keys), method, unique, path)
-    index.saved(spark)
+    writer.parquet(index.path)
+
+
+def _refuse_repeats(index: Index, df: DataFrame) -> None:
+    """Keys of null may repeat."""
+    whole = df.dropna(subset=list(index.columns))
+    if index.unique and not whole.groupBy(*index.columns).count().where("count > 1").isEmpty():
+        raise IndexingError(f"{index.name}: keys repeat")
+
+
+def create(df: DataFrame, index: Index) -> Index:
+    if index.method not in METHODS:
+        raise IndexingError(f"method {index.method!r}; known: {METHODS}")
+    missing = [k for k in index.columns if k not in df.columns]
+    if missing:
+        raise IndexingError(f"{index.table} has no column {missing}")
+    _refuse_repeats(index, df)
+    _write(df, index, "overwrite")
+    index.saved(df.sparkSession)
     return index
 
 
+def refuse(index: Index, rows: DataFrame) -> None:
+    """Raises if rows that are to be added would repeat a key of a unique index."""
+    _refuse_repeats(index, rows)
+    if index.unique and not rows.join(rows.sparkSession.read.parquet(index.path), list(index.columns), "left_semi").isEmpty():
+        raise IndexingError(f"{index.name}: keys repeat")
+
+
+def add(index: Index, rows: DataFrame) -> None:
+    """Rows added to the table, as further sorted files."""
+    _write(rows, index, "append")
+    rows.sparkSession.catalog.refreshByPath(index.path)
+
+
 def lookup(spark: SparkSession, index: Index, **equal) -> DataFrame:
     """Rows whose keys have the given values; the filter is pushed to the sorted copy."""
-    if set(equal) - set(index.keys):
-        raise IndexingError(f"{index.name} has keys {index.keys}")
-    out = spark.read.parquet(index.path)
-    for k, v in equal.items():
-        out = out.where(F.col(k) == v)
-    return out
+    if set(equal) - set(index.columns):
+        raise IndexingError(f"{index.name} has keys {index.columns}")
+    return spark.read.parquet(index.path).where(key_filter(equal))
 
 
 def chosen(indexes: list[Index], equal: set[str]) -> Index | None:
     """The index of the most keys, all of them compared for equality."""
-    fit = [i for i in indexes if set(i.keys) <= equal]
+    fit = [i for i in indexes if set(i.columns) <= equal]
     return max(fit, key=lambda i: len(i.keys), default=None)
 
 

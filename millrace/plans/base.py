@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from millrace import dialect
 from millrace.operators.scan import TABLES, parquet
+from millrace.session import typer
 
 Builder = Callable[[SparkSession, str], DataFrame]
 
@@ -42,4 +43,4 @@ def run_sql(spark: SparkSession, sf_dir: str, text: str, **options) -> DataFrame
     for name in TABLES:
         if name in names:
             parquet(spark, sf_dir, name).createOrReplaceTempView(name)
-    return spark.sql(dialect.rewrite(ts, **options))
+    return spark.sql(dialect.rewrite(ts, typer(spark), **options))

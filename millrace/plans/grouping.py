@@ -36,7 +36,7 @@ P.frame("grouping_sets", "SELECT o_orderstatus, o_orderpriority, count(*) AS n F
 P.sql("grouping_mixed", "SELECT l_linenumber, l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY l_linenumber, CUBE(l_returnflag), ROLLUP(l_linestatus)")
 P.sql("grouping_empty_set", "SELECT count(*) AS n FROM nation GROUP BY ()", "SELECT count(*) AS n FROM nation GROUP BY GROUPING SETS (())")
 P.frame("salted_distinct", "SELECT l_returnflag, count(DISTINCT l_partkey) AS parts, count(*) AS n FROM lineitem GROUP BY l_returnflag")(
-    lambda t: aggregates.salted(t("lineitem").select("l_returnflag", "l_partkey"), ["l_returnflag"], [F.collect_set("l_partkey").alias("s"), F.count("*").alias("c")], [F.size(F.array_distinct(F.flatten(F.collect_list("s")))).cast("bigint").alias("parts"), F.sum("c").alias("n")])
+    lambda t: aggregates.count_distinct(t("lineitem"), ["l_returnflag"], "l_partkey", distinct="parts", rows="n")
 )
 P.frame("udaf_composite", "SELECT o_orderstatus, round(avg(o_totalprice), 4) AS a, count(o_custkey) AS n FROM orders GROUP BY o_orderstatus")(
     lambda t: t("orders").groupBy("o_orderstatus").agg(F.round(_FUNCTIONS.call(t("orders"), "avg", "o_totalprice"), 4).alias("a"), _FUNCTIONS.call(t("orders"), "count", "o_custkey").alias("n"))

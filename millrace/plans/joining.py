@@ -19,9 +19,10 @@ P.frame("join_cross", "SELECT n_name, r_name FROM nation CROSS JOIN region")(lam
 P.sql("join_cross_where", "SELECT n_name, r_name FROM nation CROSS JOIN region WHERE n_regionkey = r_regionkey AND r_name <> 'ASIA'")
 P.sql("join_left", "SELECT o_orderkey, l_linenumber, l_partkey FROM orders LEFT OUTER JOIN lineitem ON o_orderkey = l_orderkey AND l_quantity > 40")
 P.sql("join_right", "SELECT o_orderkey, o_custkey, c_custkey FROM (SELECT * FROM orders WHERE o_totalprice > 300000) o RIGHT OUTER JOIN customer ON o_custkey = c_custkey")
-P.sql("join_full", "SELECT a.k AS ak, b.k AS bk FROM (SELECT o_orderkey AS k FROM orders WHERE o_orderkey % 2 = 0) a FULL OUTER JOIN (SELECT DISTINCT l_orderkey AS k FROM lineitem WHERE l_orderkey % 3 = 0) b ON a.k = b.k")
+P.sql("join_full", "SELECT o_orderkey, o_custkey, c_custkey, c_name FROM orders FULL OUTER JOIN customer ON o_custkey = c_custkey AND o_orderstatus = 'F'")
 P.frame("join_union", "SELECT n_name, r_name FROM nation FULL OUTER JOIN region ON false")(lambda t: joins.union_join(t("nation").select("n_name"), t("region").select("r_name")))
 P.sql("join_union_text", "SELECT n_name, r_name FROM nation UNION JOIN region", "SELECT n_name, r_name FROM nation FULL OUTER JOIN region ON false")
+P.sql("union_join_subquery", "SELECT n_name, x.name FROM nation UNION JOIN (SELECT r_name AS name FROM region WHERE r_regionkey > 1) AS x", "SELECT n_name, x.name FROM nation FULL OUTER JOIN (SELECT r_name AS name FROM region WHERE r_regionkey > 1) x ON false")
 P.sql("join_theta", "SELECT a.n_nationkey AS a, b.n_nationkey AS b FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey")
 P.sql("join_theta_only", "SELECT r_regionkey, n_nationkey FROM region JOIN nation ON r_regionkey > n_nationkey")
 P.sql("join_self", "SELECT a.s_suppkey AS a, b.s_suppkey AS b FROM supplier a, supplier b WHERE a.s_nationkey = b.s_nationkey AND a.s_suppkey <> b.s_suppkey")

@@ -72,10 +72,10 @@ FROM customer, orders, lineitem, nation
 WHERE c_custkey = o_custkey AND l_orderkey = o_orderkey AND o_orderdate >= timestamp '1997-10-01 00:00:00'
   AND o_orderdate < timestamp '1998-01-01 00:00:00' AND l_returnflag = 'R' AND c_nationkey = n_nationkey
 GROUP BY c_custkey, c_name, c_acctbal, n_name ORDER BY revenue DESC, c_custkey LIMIT 20""")
+_PAIRS_7 = f"{_PAIRS}, supplier, nation WHERE ps_suppkey = s_suppkey AND s_nationkey = n_nationkey AND n_name = 'NATION_7'"
 P.sql("q11", f"""
-SELECT ps_partkey, count(*) AS suppliers FROM {_PAIRS}, supplier, nation
-WHERE ps_suppkey = s_suppkey AND s_nationkey = n_nationkey AND n_name = 'NATION_7'
-GROUP BY ps_partkey HAVING count(*) > (SELECT count(*) * 0.0001 FROM supplier) ORDER BY suppliers DESC, ps_partkey""")
+SELECT ps_partkey, count(*) AS suppliers FROM {_PAIRS_7}
+GROUP BY ps_partkey HAVING count(*) > (SELECT count(*) * 1.3 / count(DISTINCT ps_partkey) FROM {_PAIRS_7}) ORDER BY suppliers DESC, ps_partkey""")
 P.sql("q12", """
 SELECT l_linestatus, sum(CASE WHEN o_orderpriority = '1-URGENT' OR o_orderpriority = '2-HIGH' THEN 1 ELSE 0 END) AS high_line_count,
   sum(CASE WHEN o_orderpriority <> '1-URGENT' AND o_orderpriority <> '2-HIGH' THEN 1 ELSE 0 END) AS low_line_count

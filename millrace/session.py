@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import types as T
 
 from millrace import dialect
 from millrace.catalog import Catalog
@@ -26,6 +26,22 @@ def spark_session(name: str = "millrace", master: str | None = None, **conf) ->
     return builder.getOrCreate()
 
 
+#: Functions that SQL text calls by Spark's own names.
+BUILT_IN = {"sum", "max", "min", "avg", "count", "random"}
+
+
+def typer(spark: SparkSession) -> dialect.Typer:
+    """The types of a SELECT's columns, by analysis alone; None where it can't be analysed."""
+
+    def types(text: str) -> list[str] | None:
+        try:
+            return [f.dataType.simpleString() for f in spark.sql(text).schema]
+        except (AnalysisException, ParseException):
+            return None
+
+    return types
+
+
 class Warehouse:
     """``strict_like``: LIKE has the dialect's wildcards (% and ?) and ignores case."""
 
@@ -44,12 +60,18 @@ class Warehouse:
         return out
 
     def query(self, ts: list[dialect.Token]) -> DataFrame:
-        return self.spark.sql(dialect.rewrite(ts, self._integral, self.strict_like))
-
-    def _integral(self, column: str) -> bool:
-        """Whether every known column of that name is an integer."""
-        kinds = [f.dataType for n in self.catalog.names() for f in self.catalog.get(n).schema if f.name.lower() == column]
-        return bool(kinds) and all(isinstance(k, T.IntegralType) for k in kinds)
+        """The rows of a query. One table's rows of given values come through an index of theirs."""
+        found = dialect.equalities(ts)
+        if found and ts[found[0]].text.strip("`").lower() in self.catalog.names():
+            at, equal = found
+            name = ts[at].text.strip("`").lower()
+            index = self.catalog.index_for(name, set(equal))
+            if index is not None:
+                aliased = at + 1 < len(ts) and ts[at + 1].word != "where"
+                ts = [*ts[:at], dialect.Token("quoted", f"`{self.catalog.index_view(index)}`"), *([] if aliased else dialect.tokens(f"as {name}")), *ts[at + 1 :]]
+        own = set(f.name.lower() for f in self.functions.listing()) - BUILT_IN
+        functions = (own.__contains__, lambda name, takes: self.functions.sql(self.spark, name, takes))
+        return self.spark.sql(dialect.rewrite(ts, typer(self.spark), self.strict_like, functions))
 
     def _rows(self, rows: list[tuple], schema: str) -> DataFrame:
         return self.spark.createDataFrame(rows, schema)
@@ -61,9 +83,9 @@ class Warehouse:
         if s.kind == "create":
             c.create(s.name, s.columns, s.fmt, s.location, s.options)
         elif s.kind == "create_as":
-            c.create_as(s.name, self.query(s.query), s.fmt)
+            c.create_as(s.name, self.query(s.query), s.fmt, s.location or None, s.options)
         elif s.kind == "create_index":
-            c.create_index(s.name, s.table, s.keys, s.method, s.unique)
+            c.create_index(s.name, s.table, s.keys, s.method, s.unique, s.options)
         elif s.kind == "insert":
             c.insert(s.name, self.query(s.query))
         elif s.kind in ("drop", "detach", "drop_index"):

@@ -5,7 +5,9 @@ Every path goes through Spark's file systems, so a table may live in any store t
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,6 +17,9 @@ FORMATS = ("csv", "parquet", "orc", "json")
 #: Names that declarations use for row and columnar binary stores.
 SYNONYMS = {"raw": "parquet", "rowfile": "parquet", "rcfile": "orc"}
 DELIMITERS = ("csvfile.delimiter", "csv.delimiter", "sep")
+#: The option of the character before an escaped delimiter (d), line feed (n), return (r) or itself.
+#: Tables that are created from queries have it; without it a cell can't hold these.
+ESCAPE = "csvfile.escape"
 
 
 class FormatError(ValueError):
@@ -39,7 +44,8 @@ def read(spark: SparkSession, path: str, fmt: str, schema: T.StructType, options
         return spark.read.format(format_of(fmt)).schema(schema).load(path)
     raw = T.StructType([T.StructField(f.name, T.StringType()) for f in schema])
     text = spark.read.schema(raw).csv(path, sep=delimiter(options or {}), quote="", mode="PERMISSIVE", ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
-    return text.select(*[from_text(F.col(f"`{f.name}`"), dialect_type(f)).alias(f.name, metadata=f.metadata) for f in schema])
+    plain = lambda c: _unescaped(c, options or {})
+    return text.select(*[from_text(plain(F.col(f"`{f.name}`")), dialect_type(f)).alias(f.name, metadata=f.metadata) for f in schema])
 
 
 def write(df: DataFrame, path: str, fmt: str, options: dict[str, str] | None = None, mode: str = "errorifexists") -> None:
@@ -47,10 +53,36 @@ def write(df: DataFrame, path: str, fmt: str, options: dict[str, str] | None = N
     if fmt != "csv":
         df.write.mode(mode).format(fmt).save(path)
         return
-    cells = df.select(*[to_text(F.col(f"`{f.name}`"), dialect_type(f)).alias(f.name) for f in df.schema])
+    cells = df.select(*[_escaped(to_text(F.col(f"`{f.name}`"), dialect_type(f)), options or {}).alias(f.name) for f in df.schema])
     cells.write.mode(mode).csv(path, sep=delimiter(options or {}), quote="\u0000", emptyValue="")
 
 
+def _escaped(cell: Column, options: dict[str, str]) -> Column:
+    """A cell as it is written. Without an escape character a cell that would break its row raises."""
+    mark, sep = options.get(ESCAPE), delimiter(options)
+    if mark is None:
+        broken = cell.contains("\n") | cell.contains("\r") | cell.contains(sep)
+        return F.when(broken, F.raise_error(F.lit(f"a cell holds a line end or {sep!r}; set {ESCAPE!r}"))).otherwise(cell)
+    for raw, name in ((mark, mark), ("\n", "n"), ("\r", "r"), (sep, "d")):
+        cell = F.replace(cell, F.lit(raw), F.lit(mark + name))
+    return cell
+
+
+def _unescaped(cell: Column, options: dict[str, str]) -> Column:
+    """The inverse: the parts between doubled marks are taken one by one, so that a mark that stands
+    for itself doesn't join what follows it."""
+    mark, sep = options.get(ESCAPE), delimiter(options)
+    if mark is None:
+        return cell
+
+    def part(x: Column) -> Column:
+        for raw, name in (("\n", "n"), ("\r", "r"), (sep, "d")):
+            x = F.replace(x, F.lit(mark + name), F.lit(raw))
+        return x
+
+    return F.array_join(F.transform(F.split(cell, re.escape(mark * 2)), part), mark)
+
+
 def _hadoop(spark: SparkSession, path: str):
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())

@@ -55,7 +55,7 @@ def schema_of(columns: list[tuple[str, str]]) -> T.StructType:
 def dialect_type(field: T.StructField) -> str:
     if "dialect" in field.metadata:
         return field.metadata["dialect"]
-    return next((k for k, t in TYPES.items() if t == field.dataType), field.dataType.simpleString())
+    return next((k for k, t in TYPES.items() if t == field.dataType and k not in ("byte", "char")), field.dataType.simpleString())
 
 
 def from_text(cell: Column, kind: str) -> Column:
@@ -82,13 +82,13 @@ def to_text(value: Column, kind: str) -> Column:
 
 
 #: Order of promotion of numeric operands.
-_RANK = ["smallint", "int", "bigint", "float", "double"]
+RANK = ["smallint", "int", "bigint", "float", "double"]
 
 
 def promoted(left: str, right: str) -> str:
     """Result type of arithmetic on two numeric types: the wider of both, except that float
     with anything but an integer of at most 32 bits is double."""
-    a, b = sorted((left, right), key=_RANK.index)
+    a, b = sorted((left, right), key=RANK.index)
     if b == "float" and a in ("bigint", "float"):
         return "double"
     return b

@@ -1,7 +1,10 @@
 import pytest
+from pyspark.sql import functions as F
 
 from millrace import dialect
-from millrace.session import Warehouse
+from millrace.functions.registry import FunctionError
+from millrace.operators import layout
+from millrace.session import Warehouse, typer
 
 
 def sql(text, **options):
@@ -26,10 +29,47 @@ def test_rewriting(text, want):
     assert sql(text) == want
 
 
-def test_division_of_integers():
-    whole = {"a", "b"}.__contains__
-    assert sql("select a / 2, (a + b) / a, t.a / b", integral=whole) == "select a div 2 , ( a + b ) div a , t . a div b"
-    assert sql("select a / 2.0, x / 2, a / avg(b), count(*) / 2", integral=whole) == "select a / 2.0 , x / 2 , a / avg ( b ) , count ( * ) div 2"
+def test_division_of_integers(spark):
+    spark.createDataFrame([(7, 2, 7.5)], "a int, b bigint, x double").createOrReplaceTempView("div1")
+    spark.createDataFrame([(7.5,)], "a double").createOrReplaceTempView("div2")
+    one = lambda text, **options: tuple(spark.sql(sql(text, types=typer(spark), **options)).first())
+    assert one("select a / 2, (a + b) / b, t.a / b, a / 2.0, x / 2, 7 / 2, 7 / 2.0 from div1 t") == (3, 4, 3, 3.5, 3.75, 3, 3.5)
+    assert one("select a / 2 from div2") == (3.75,)
+    assert one("select 2.5 * a / b, x * a / b, a / b * x, a * b / 4 / 2, -a / b from div1")[1:] == (26.25, 22.5, 1, -3)
+    assert one("select q / 2, y / 2 from (select a / b as q, a / x as y from div1) s") == (1, 7 / 7.5 / 2)
+    assert one("with s as (select a / b as q from div1) select q / 2 from s where exists (select 1 from div2 where s.q / 2 = 1)") == (1,)
+    assert one("select sum(a) / count(*), sum(x) / count(*), a / max(b) from div1 group by a") == (7, 7.5, 3)
+    assert one("select case when a > 1 then a else b end / 2 as c from div1 union all select 9 / 2 from div2 order by c") == (3,)
+
+
+def test_functions_in_queries(spark, tmp_path):
+    w = Warehouse(spark, str(tmp_path))
+    w.catalog.register("fn1", spark.createDataFrame([(3, "x"), (4, "y")], "a int, s string"))
+    w.functions.scalar("plus", ["int", "int"], "int", lambda a, b: a + b)
+    w.functions.scalar("plus", ["string", "string"], "string", lambda a, b: F.concat(a, b))
+    w.functions.aggregate("range_of", ["int"], "int", lambda c: {"lo": F.min(c), "hi": F.max(c)}, lambda lo, hi: hi - lo)
+    assert [tuple(r) for r in w.sql("select plus(a, plus(a, 1)) as p, plus(s, 'z') as q, plus(a, 1) / 2 as h from fn1 where plus(a, 0) > 3").collect()] == [(9, "yz", 2)]
+    assert w.sql("select range_of(a) as r from fn1 having range_of(a) < 2").first()[0] == 1
+    with pytest.raises(FunctionError):
+        w.sql("select plus(s, a) as p from fn1")
+    with pytest.raises(dialect.DialectError):
+        w.sql("select plus(nothing, a) as p from fn1")
+
+
+def test_union_join_and_like(spark):
+    got = sql("select * from a union join (select b / 2 as c from t) as x where c = 1")
+    assert got == "select * from a full outer join ( select b / 2 as c from t ) as x on false where c = 1"
+    assert sql("select * from a union join d.b x join c on x.k = c.k") == "select * from a full outer join d . b x on false join c on x . k = c . k"
+    for text in ("select a like b", "select a like 'x' || b", "select a like concat('x', b)"):
+        with pytest.raises(dialect.DialectError):
+            sql(text, strict_like=True)
+
+
+def test_equalities_of_one_table():
+    of = lambda text: dialect.equalities(dialect.tokens(text))
+    assert of("select a from t x where x.a = 3 and b = 'y' and c > 2 order by a") == (3, {"a": "3", "b": "'y'"})
+    for text in ("select a from t where a = 3 or b = 1", "select a from t, u where a = 3", "select a from t join u on b = c where a = 3", "select a from t where a = 3 union select 1", "select a from (select 1 as a) x where a = 1", "select a from t"):
+        assert of(text) is None
 
 
 def test_like_of_the_dialect():
@@ -43,7 +83,7 @@ def test_statements_are_parsed():
     s = parse("create table T (Id long, name string) using csv location '/x' with ('csvfile.delimiter'=',')")
     assert (s.kind, s.name, s.columns, s.fmt, s.location, s.options) == ("create", "t", [("id", "long"), ("name", "string")], "csv", "/x", {"csvfile.delimiter": ","})
     s = parse("create unique index i on t using bst (a asc null first, b desc)")
-    assert (s.kind, s.unique, s.table, s.method, s.keys) == ("create_index", True, "t", "bst", ["a", "b"])
+    assert (s.kind, s.unique, s.table, s.method, s.keys) == ("create_index", True, "t", "bst", [layout.Key("a", False, True), layout.Key("b", True)])
     assert parse("x := select 1").kind == "create_as"
     assert parse("\\d t").kind == parse("desc t").kind == parse("show table t").kind == "describe"
     assert parse("\\t").kind == "show_tables" and parse("\\f").kind == "show_functions"

@@ -128,6 +128,47 @@ def test_indexes(spark, tmp_path):
     assert len(w.catalog.indexes("t1")) == 1
 
 
+def test_indexes_follow_their_table(spark, tmp_path):
+    w = Warehouse(spark, str(tmp_path))
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    w.sql("ix1 := select id as a, id % 10 as b from range(100); create unique index ia on ix1 using bst (a desc null first) with ('ranges' = '2'); create index ib on ix1 using btree (b)")
+    w.sql("insert into ix1 values (1000, 3), (null, 3)")
+    assert rows(w.catalog.find("ix1", a=1000)) == [(1000, 3)] and w.catalog.find("ix1", b=3).count() == 12
+    got = w.sql("select a from ix1 where b = 3 and a > 50")
+    assert "/ix1.index/ib" in got.inputFiles()[0] and got.count() == 6
+    assert "/ix1.index/" not in w.sql("select a from ix1 where b = 3 or a = 1").inputFiles()[0]
+    for text in ("insert into ix1 values (1000, 4)", "insert into ix1 values (2000, 4), (2000, 5)"):
+        with pytest.raises(layout.IndexingError):
+            w.sql(text)
+    assert w.sql("select count(*) as n from ix1").first()[0] == 102 and w.catalog.get("ix1").stats["rows"] == 102
+    assert w.catalog.get("ix1").stats["columns"]["a"] | {"ndv": 0} == {"nulls": 1, "min": "0", "max": "1000", "ndv": 0}
+    path = w.catalog.get("ix1").path
+    w.sql("detach ix1")
+    other = Warehouse(spark, str(tmp_path / "elsewhere"))
+    other.sql(f"attach again '{path}'")
+    ia = next(i for i in other.catalog.indexes("again") if i.name == "ia")
+    assert ia.keys == (layout.Key("a", True, True),) and ia.options == {"ranges": "2"} and ia.unique
+    assert rows(other.sql("select again.a, b from again where again.a = 1000")) == [(1000, 3)]
+    files_ = [[r[0] for r in spark.read.parquet(f).collect()] for f in spark.read.parquet(ia.path).inputFiles()]
+    assert all(x == sorted(x, key=lambda v: (v is not None, -(v or 0))) for x in files_)
+    other.sql("drop table again")
+    assert other.catalog.indexes() == [] and not (tmp_path / "ix1.index" / "ia").exists()
+    other.sql("again := select 1 as a, 2 as b")
+    assert rows(other.catalog.find("again", a=1)) == [(1, 2)] and other.catalog.find("again", a=1000).isEmpty()
+
+
+def test_delimited_text_that_would_break_rows(spark, tmp_path):
+    from millrace.sources import files
+
+    schema = schema_of([("a", "int"), ("b", "string")])
+    rows = [(1, "a|b"), (2, "x\ny"), (3, "\\n\\"), (4, "\\\n|\r"), (5, None)]
+    df = spark.createDataFrame(rows, schema)
+    files.write(df, str(tmp_path / "escaped"), "csv", {files.ESCAPE: "\\"})
+    assert sorted(map(tuple, files.read(spark, str(tmp_path / "escaped"), "csv", schema, {files.ESCAPE: "\\"}).collect())) == rows
+    with pytest.raises(Exception, match="csvfile.escape"):
+        files.write(df, str(tmp_path / "plain"), "csv")
+
+
 def test_all_types_through_every_format(spark, tmp_path):
     from millrace.sources import files
 

@@ -38,7 +38,7 @@ def test_small_sides_are_broadcast_and_top_k_does_not_sort_all(spark, sf, lineit
 
 
 def test_index_lookup_is_pushed_down(spark, lineitem, tmp_path):
-    index = layout.create(lineitem, "i", "lineitem", ["l_orderkey"], str(tmp_path / "i"), method="hash")
+    index = layout.create(lineitem, layout.Index("i", "lineitem", (layout.Key("l_orderkey"),), "hash", False, str(tmp_path / "i")))
     assert "EqualTo(l_orderkey,7)" in plan(layout.lookup(spark, index, l_orderkey=7))
 
 
