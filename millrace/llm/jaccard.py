@@ -9,11 +9,13 @@ and those of higher similarity with more. Nodes that share a key are linked thro
 node, never in pairs, into coarse groups, and similarities within a group are computed exactly:
 
 - A group of at most ``SMALL`` nodes is compared as a whole in one task.
-- In a larger one, all nodes are compared with up to ``PIVOTS`` of them at a time, in blocks of
-  ``BLOCK`` nodes. Once a node has been a pivot, all its links are known. The first pivots are any;
-  the next ones are nodes outside of the group's largest component. When each of those has been a
-  pivot, no link between two components can be missing. So a hot group of near copies costs its
-  rows times a few pivots, not their square.
+- In a larger one, nodes of which more than a fifth of the shingles are found in no other node of the
+  group have no link, whatever they resemble; a much changed copy is such a node. All others are
+  compared with up to ``PIVOTS`` of them at a time, in blocks of ``BLOCK`` nodes. Once a node has
+  been a pivot, all its links are known. The first pivots are any; the next ones are nodes outside
+  of the group's largest component. When each of those has been a pivot, no link between two
+  components can be missing. So a hot group of near copies costs its rows times some pivots, not
+  their square.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ BANDS, ROWS = 24, 5
 SEED = 42
 RADIUS = 2
 #: Nodes of a group that is compared in one task; pivots of a larger one at a time, and nodes of its blocks.
-SMALL, PIVOTS, BLOCK = 256, 32, 2_000
+SMALL, PIVOTS, BLOCK = 256, 128, 2_000
 
 _rng = np.random.default_rng(SEED)
 _XOR = _rng.integers(0, 1 << 64, BANDS * ROWS, np.uint64)
@@ -145,6 +147,13 @@ def _against_pivots(block: pa.Table) -> pa.Table:
     return pa.table({"a": a[a != b], "b": b[a != b]})
 
 
+def _linkable(sets: DataFrame) -> DataFrame:
+    """The rows of ``sets`` (grp, n, node, tokens) without those that have too many shingles of their own."""
+    token = sets.select("grp", "node", F.explode("tokens").alias("token")).groupBy("grp", "token").agg(F.count("*").alias("found"), F.min("node").alias("owner"))
+    alone = written(token.where("found = 1").groupBy(F.col("owner").alias("node")).agg(F.count("*").alias("alone")), "jaccard-alone")
+    return sets.join(bounded(alone), "node", "left").where(F.expr("5 * (size(tokens) - coalesce(alone, 0)) >= 4 * size(tokens)")).select("grp", "n", "node", "tokens")
+
+
 def _resolved(sets: DataFrame) -> DataFrame:
     """(node, root): the components of what is similar in the large groups of ``sets`` (grp, n, node, tokens)."""
     by_hash = Window.partitionBy("grp").orderBy("h", "node")
@@ -191,7 +200,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     roots = written(sets.where(F.col("n") <= SMALL).groupBy("grp").applyInArrow(_verified, "node bigint, root bigint"), "jaccard-roots")
     large = sets.where(F.col("n") > SMALL)
     if not large.isEmpty():
-        roots = roots.union(_resolved(large))
+        roots = roots.union(_resolved(written(_linkable(large), "jaccard-linkable")))
     return signed.join(roots, "node", "left").select("doc_id", "version", F.coalesce("root", "node").alias("root"))
 
 
