@@ -32,7 +32,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.store import setting, width, written
@@ -45,7 +45,7 @@ SAMPLE, WORDS, HOT = 2_000, 100_000, 5_000
 #: Times that a word of the dictionary, or a hot bigram, is found in the sample.
 WORD_TIMES, HOT_TIMES = 3, 20
 #: Tokens, and documents, that a task explodes at a time.
-FLUSH_TOKENS, FLUSH_DOCS = 700_000, 60_000
+FLUSH_TOKENS, FLUSH_DOCS = 400_000, 60_000
 START = 0  # the start mark's code; other codes of the dictionary are 1 to WORDS
 #: Bits of a dictionary code, and what marks U rows, attribute rows and X rows.
 CODE, OTHER, ATTRIBUTE, TWICE = 20, 1 << 40, 1 << 41, 1 << 62
@@ -210,15 +210,24 @@ def _exploded(dictionary: np.ndarray, counts: np.ndarray, hot: np.ndarray, times
     return run
 
 
-def _score(total: int) -> Column:
-    """The score of a row, given c, its bigram's count, own, its key's, and those of the dictionary."""
-    n = f"(w & {(1 << TIMES) - 1})"
-    back = f"ln({ALPHA / total!r}D * %s)"
-    return F.expr(f"""CASE WHEN k >= {ATTRIBUTE} THEN CASE WHEN {n} = {BASE} THEN o / {UNITS}D ELSE 0D END
-        WHEN k >= 0 THEN {n} * CASE WHEN c >= {MIN_COUNT} THEN ln(c) - ln(first_n) ELSE {back % "second_n"} END
-        WHEN o >= {TWICE} THEN CASE WHEN c >= {MIN_COUNT} THEN -{n} * ln(own) ELSE 0D END
-        WHEN o >= {OTHER} THEN {n} * CASE WHEN c >= {MIN_COUNT} THEN ln(c) - ln(own) ELSE {back % "second_n"} END
-        ELSE {n} * CASE WHEN c >= {MIN_COUNT} THEN ln(c) - coalesce(ln(first_n), 0D) ELSE {back % "own"} END END""")
+def _scored(table: DataFrame, counts: np.ndarray, total: int) -> DataFrame:
+    """(k, o, s): what one time of a key's bigram adds to a score, of ``table`` (k, o, c: times, own: the
+    key's word's). Of the dictionary's counts a bigram needs its first word's if it was found, else
+    its second's."""
+    spark, found = table.sparkSession, f"c >= {MIN_COUNT}"
+    unigrams = [(i, float(np.log(n)) if n else None) for i, n in enumerate(counts.tolist())]
+    unigrams = F.broadcast(spark.createDataFrame(unigrams, "code bigint, log_n double"))  # WORDS + 1 rows at most
+    code = F.expr(f"""CASE WHEN k >= {ATTRIBUTE} OR o >= {TWICE} THEN NULL
+        WHEN k >= 0 THEN CASE WHEN {found} THEN shiftright(k, {CODE}) ELSE k & {(1 << CODE) - 1} END
+        WHEN o >= {OTHER} THEN CASE WHEN {found} THEN NULL ELSE o - {OTHER} END
+        WHEN o >= 0 AND {found} THEN o END""")
+    back = float(np.log(ALPHA / total))
+    score = F.expr(f"""CASE WHEN k >= {ATTRIBUTE} THEN 0D
+        WHEN k >= 0 THEN CASE WHEN {found} THEN ln(c) - log_n ELSE {back!r}D + log_n END
+        WHEN o >= {TWICE} THEN CASE WHEN {found} THEN -ln(own) ELSE 0D END
+        WHEN o >= {OTHER} THEN CASE WHEN {found} THEN ln(c) - ln(own) ELSE {back!r}D + log_n END
+        WHEN {found} THEN ln(c) - coalesce(log_n, 0D) ELSE {back!r}D + ln(own) END""")
+    return table.withColumn("code", code).join(unigrams, "code", "left").select("k", "o", score.alias("s"))
 
 
 def scores(docs: DataFrame) -> DataFrame:
@@ -241,19 +250,11 @@ def scores(docs: DataFrame) -> DataFrame:
     table = dealt.groupBy("k", "o").agg(F.sum(F.col("w").bitwiseAND(F.lit((1 << TIMES) - 1))).alias("c"))
     key = Window.partitionBy("k").orderBy("o").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     table = table.withColumn("own", F.sum(F.when(F.col("o") < OTHER, F.col("c"))).over(key))
-    unigrams = spark.createDataFrame(list(enumerate(counts.tolist())), "code bigint, n bigint")  # WORDS + 1 rows at most
-    first = F.broadcast(unigrams.select(F.col("code").alias("first"), F.col("n").alias("first_n")))
-    second = F.broadcast(unigrams.select(F.col("code").alias("second"), F.col("n").alias("second_n")))
-    pair = F.expr(f"k >= 0 AND k < {ATTRIBUTE}")
-    joined = dealt.join(table, ["k", "o"]).withColumns(
-        {
-            "first": F.when(pair, F.expr(f"shiftright(k, {CODE})")).when(F.expr(f"k < 0 AND o >= 0 AND o < {OTHER}"), F.col("o")),
-            "second": F.when(pair, F.col("k").bitwiseAND(F.lit((1 << CODE) - 1))).when(F.expr(f"k < 0 AND o >= {OTHER} AND o < {TWICE}"), F.col("o") - OTHER),
-        }
-    )
-    joined = joined.join(first, "first", "left").join(second, "second", "left")
-    tag = F.when(F.col("k") >= ATTRIBUTE, F.col("w").bitwiseAND(F.lit((1 << TIMES) - 1)))
-    scored = joined.select(F.expr(f"shiftright(w, {TIMES})").alias("row"), F.when(tag == ID, F.col("o")).alias("doc_id"), F.when(tag == LENGTH, F.col("o")).alias("n_words"), _score(total).alias("s"))
+    joined = dealt.join(_scored(table, counts, total), ["k", "o"])
+    low = F.col("w").bitwiseAND(F.lit((1 << TIMES) - 1))
+    tag = F.when(F.col("k") >= ATTRIBUTE, low)
+    adds = F.when(F.col("k") < ATTRIBUTE, low * F.col("s")).when(tag == BASE, F.col("o") / UNITS).otherwise(0.0)
+    scored = joined.select(F.expr(f"shiftright(w, {TIMES})").alias("row"), F.when(tag == ID, F.col("o")).alias("doc_id"), F.when(tag == LENGTH, F.col("o")).alias("n_words"), adds.alias("s"))
     by_row = scored.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.sum("s").alias("log_score"))
     with setting(spark, "spark.sql.requireAllClusterKeysForCoPartition", "false"):  # partitions of k serve the join by k and o
         return written(by_row, "backoff-scores").select("doc_id", "n_words", "log_score")
