@@ -1,4 +1,5 @@
 import itertools
+import random
 import zlib
 from collections import Counter
 
@@ -40,6 +41,39 @@ def test_equal_texts_stand_together(spark):
     assert len(list(itertools.groupby(order))) == len(set(order))
 
 
+def test_cells_follow_the_values(spark):
+    rows = [(f"v{i:03}", "hot" if i % 3 else None) for i in range(300) for _ in range(1 + (i == 7) * 900)]
+    got = hilbert.quantised_names(spark.createDataFrame(rows, "a string, b string").repartition(5), ["a", "b"], 8).collect()
+    cells = dict(sorted((r["value"], r["cell"]) for r in got if r["name"] == "a"))
+    want, before = {}, 0
+    for v, n in sorted(Counter(v for v, _ in rows).items()):
+        want[v] = 1 + before * 255 // len(rows)
+        before += n
+    assert cells == want and [(r["value"], r["cell"]) for r in got if r["name"] == "b"] == [("hot", 1)]
+    assert hilbert.quantised_names(spark.createDataFrame([], "a string"), ["a"], 8).count() == 0
+
+
+def test_shards_prune_in_every_dimension(spark):
+    """Shards that a lookup opens by their minima and maxima, against a cut of the rows in any order."""
+    rng = random.Random(4)
+    rows = [(i, "x" * int(2 ** rng.uniform(3, 12)) + str(i), rng.choice(["de", "en", "en", "en", "es", "fr"]), "s00" if rng.random() < 0.3 else f"s{rng.randrange(20):02}") for i in range(6000)]
+    of = {r["doc_id"]: r["shard"] for r in hilbert.shards(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string"), 24).collect()}
+    dims = {i: (lang, source, len(text)) for i, text, lang, source in rows}
+
+    def opened(shard_of, **equal):
+        ends = {}
+        for i, k in shard_of.items():
+            lows, highs = ends.setdefault(k, (list(dims[i]), list(dims[i])))
+            for d in range(3):
+                lows[d], highs[d] = min(lows[d], dims[i][d]), max(highs[d], dims[i][d])
+        return sum(all(lows[d] <= high and highs[d] >= low for d, (low, high) in equal["by"].items()) for lows, highs in ends.values()) / 24
+
+    anyhow = {i: k % 24 for k, i in enumerate(rng.sample(list(of), len(of)))}
+    lookups = [({1: ("s07", "s07")}, 0.5), ({0: ("fr", "fr")}, 0.45), ({2: (64, 100)}, 0.6), ({1: ("s12", "s13"), 2: (64, 100)}, 0.35), ({0: ("es", "es"), 1: ("s15", "s15")}, 0.3)]
+    for by, most in lookups:
+        assert opened(of, by=by) <= most and opened(anyhow, by=by) == 1.0, (by, opened(of, by=by))
+
+
 def test_query(spark, sf):
     rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
     check(rows, queries.op1_hilbert_shards(spark, sf).collect(), 24)
