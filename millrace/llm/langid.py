@@ -3,9 +3,10 @@ n-grams, trained with follow-the-regularised-leader (FTRL-proximal) and elastic-
 penalties, then calibrated by one temperature.
 
 Document frequencies come from every training row. The weights are fitted on the driver on
-a bounded sample: per language the ``per_lang`` training rows with the smallest hash of
-id and text, of which every fifth serves for calibration. Prediction covers all rows and
-whole texts.
+a bounded sample: for each language, of which none is left out, the training texts of the smallest
+hashes, at most ``per_lang`` and, over all languages, about ``rows``; every fifth of them serves for
+calibration. Only their features are sent to the driver. A text found in several rows of a language
+is one of its examples. Prediction covers all rows and whole texts.
 """
 
 from __future__ import annotations
@@ -19,16 +20,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.llm.store import written
+
 UNDETERMINED = "und"
+#: N-grams of a text from which on they are counted in an array of all features rather than sorted.
+DENSE = 4_000
 
 
 @dataclass(frozen=True)
 class Params:
     bits: int = 16  # features: hashed n-grams
     orders: tuple[int, ...] = (1, 2, 3)
-    per_lang: int = 600  # bound of the sample, in rows of each language
-    max_langs: int = 400  # bound of the sample, in languages; the most frequent
-    max_chars: int = 50_000  # longer texts are left out of the sample (never out of counts or predictions)
+    per_lang: int = 600  # bound of the sample, in texts of each language
+    rows: int = 20_000  # bound of the sample over all languages, of which each has 10 texts in any case
     epochs: int = 3
     alpha: float = 0.5
     beta: float = 1.0
@@ -52,13 +56,16 @@ def grams(text: str, p: Params) -> tuple[np.ndarray, np.ndarray]:
     letter = _letters(code)
     keep = letter | np.concatenate(([True], letter[:-1]))
     code = np.where(letter, code, np.uint32(32))[keep].astype(np.uint64)
-    total = np.zeros(1 << p.bits, np.int64)
-    h = np.zeros(len(code), np.uint64)
+    h, found = np.zeros(len(code), np.uint64), []
     for n in range(1, max(p.orders) + 1):
         h = (h[: len(code) - n + 1] + code[n - 1 :]) * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(29)
-        if n in p.orders and len(h):
-            total += np.bincount((h >> np.uint64(8) & np.uint64((1 << p.bits) - 1)).astype(np.int64), minlength=1 << p.bits)
+        if n in p.orders:
+            found.append((h >> np.uint64(8) & np.uint64((1 << p.bits) - 1)).astype(np.int64))
+    features = np.concatenate(found)
+    if len(features) < DENSE:
+        return np.unique(features, return_counts=True)
+    total = np.bincount(features)
     at = np.flatnonzero(total)
     return at, total[at]
 
@@ -139,18 +146,40 @@ def temperature(logits: np.ndarray, labels: np.ndarray) -> float:
     return math.exp((a + b) / 2)
 
 
-def example(text: str, idf: np.ndarray) -> Callable[[Params], tuple[np.ndarray, np.ndarray]]:
-    def build(p: Params) -> tuple[np.ndarray, np.ndarray]:
-        at, n = grams(text, p)
-        return np.append(at, 1 << p.bits), np.append(tfidf(at, n, idf), 1.0)
+def example(at: np.ndarray, n: np.ndarray, idf: np.ndarray, p: Params) -> tuple[np.ndarray, np.ndarray]:
+    """Features and values, the last of which is the bias."""
+    return np.append(at, 1 << p.bits), np.append(tfidf(at, n, idf), 1.0)
+
+
+def _features(p: Params) -> Callable:
+    """lang, place, features and counts of (lang, place, text)."""
+
+    def run(batches):
+        for batch in batches:
+            got = [grams(t.as_py(), p) for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([g[0].astype(np.int32) for g in got], pa.list_(pa.int32())), pa.array([g[1].astype(np.int32) for g in got], pa.list_(pa.int32()))], names=["lang", "place", "features", "counts"])
+
+    return run
+
 
-    return build
+def sampled(rows: DataFrame, p: Params) -> DataFrame:
+    """(lang, h, place, text): the examples of ``rows`` (text, lang), the place by h, a hash of the text. A cut on h where
+    rows are read passes twice as many texts as are wanted, however many there are."""
+    hashed = rows.select("lang", "text", F.pmod(F.xxhash64("text"), F.lit(1 << 40)).alias("h"))
+    texts = {r["lang"]: r["n"] for r in hashed.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n")).collect()}
+    each = max(10, min(p.per_lang, p.rows // max(len(texts), 1)))
+    shares = rows.sparkSession.createDataFrame([(lang, min(1.0, 2 * each / n)) for lang, n in sorted(texts.items())], "of string, share double")
+    cut = hashed.join(F.broadcast(shares), F.col("lang") == F.col("of")).where(F.col("h") < F.col("share") * (1 << 40))
+    once = cut.groupBy("lang", "h").agg(F.min("text").alias("text"))
+    order = Window.partitionBy("lang").orderBy("h")
+    return once.withColumn("place", F.row_number().over(order).cast("bigint")).where(F.col("place") <= each).select("lang", "h", "place", "text")
 
 
 def fit(rows: DataFrame, p: Params = Params()) -> Model:
-    """A model of ``rows`` (doc_id, text, lang); rows without a lang or a letter in their
-    text teach nothing. Without any such row the model knows no language."""
-    rows = rows.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    """A model of ``rows`` (text, lang); rows without a lang or a letter in their text teach nothing.
+    Without any such row the model knows no language. Examples come in order of their place, then
+    their language."""
+    rows = rows.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     counted = rows.select("text").mapInArrow(_frequencies(p), "feature bigint, n bigint").groupBy("feature").agg(F.sum("n").alias("n"))
     found = counted.toPandas()  # at most 2^bits + 1 rows
     texts = int(found.loc[found["feature"] == -1, "n"].sum())
@@ -158,22 +187,15 @@ def fit(rows: DataFrame, p: Params = Params()) -> Model:
     own = found[found["feature"] >= 0]
     df[own["feature"].to_numpy(np.int64)] = own["n"].to_numpy()
     idf = np.log((1 + texts) / (1 + df)) + 1
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(p.max_langs).collect()}
-    langs = sorted(sizes)
-    if not langs:
+    if not texts:
         return Model((), idf, np.zeros(((1 << p.bits) + 1, 0)), 1.0, p)
-    # Twice the rows that are wanted pass a cut on the hash where they are read, so that the
-    # ranking gets a bounded number, however many there are.
-    shares = rows.sparkSession.createDataFrame([(lang, min(1.0, 2 * p.per_lang / n)) for lang, n in sizes.items()], "lang string, share double")
-    hashed = rows.where(F.length("text") <= p.max_chars).withColumn("h", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)))
-    cut = hashed.join(F.broadcast(shares), "lang").where(F.col("h") < F.col("share") * (1 << 40))
-    order = Window.partitionBy("lang").orderBy("h", "doc_id")
-    sample = cut.withColumn("place", F.row_number().over(order)).where(F.col("place") <= p.per_lang).select("text", "lang", "place").toPandas()
-    sample = sample.sort_values(["place", "lang"], kind="stable")
+    chosen = written(sampled(rows, p), "langid-sample")
+    table = chosen.select("lang", "place", "text").mapInArrow(_features(p), "lang string, place bigint, features array<int>, counts array<int>").toPandas()  # a bounded sample
+    langs = sorted(set(table["lang"]))
     code = {lang: i for i, lang in enumerate(langs)}
     train, held, gold = [], [], []
-    for text, lang, place in zip(sample["text"], sample["lang"], sample["place"], strict=True):
-        at, x = example(text, idf)(p)
+    for lang, place, features, counts in sorted(zip(table["lang"], table["place"], table["features"], table["counts"], strict=True), key=lambda x: (x[1], x[0])):
+        at, x = example(np.asarray(features, np.int64), np.asarray(counts, np.int64), idf, p)
         if place % 5 == 0:
             held.append((at, x))
             gold.append(code[lang])
@@ -187,7 +209,7 @@ def fit(rows: DataFrame, p: Params = Params()) -> Model:
 def predict_one(text: str | None, m: Model) -> tuple[str, float]:
     if not m.langs or not has_letter(text):
         return UNDETERMINED, 0.0
-    at, x = example(text, m.idf)(m.params)
+    at, x = example(*grams(text, m.params), m.idf, m.params)
     prob = softmax((x @ m.weights[at]) / m.temperature)
     k = int(prob.argmax())
     return m.langs[k], float(prob[k])
