@@ -6,13 +6,13 @@ common. (An item of fewer words is one window; it is fingerprinted by its only k
 words, and documents by all theirs of that length, for each such length that the benchmark has.)
 
 First the documents' fingerprints, without places, are joined with the benchmark's, which leaves
-the candidates. In these, each place of a joined fingerprint is a seed: the words around it are
-compared with the item's, both ways as far as a window with the seed can reach, and the longest
-common run about the seed, if at least a window long, is a hit. A longer shared span is the union
-of the hits of its windows' seeds.
+the candidates. In these, each place of a gram with a benchmark fingerprint's hash is a seed: the
+words around it are compared with the item's, both ways as far as a window with the seed can reach,
+and the longest common run about the seed, if at least a window long, is a hit. A longer shared span
+is the union of the hits of its windows' seeds. Items with the same words about a fingerprint are
+one context, so a passage of many items is compared once.
 
-The benchmark's fingerprints and the candidates are broadcast if their counted rows are within a
-bound, and joined by shuffle beyond it.
+Tables are broadcast if their counted rows and bytes are within bounds, and joined by shuffle beyond.
 """
 
 from __future__ import annotations
@@ -73,8 +73,9 @@ def _around(w: Column, hash_: Column, at: Column, length: int, k: int, window: i
 
 
 def benchmark_seeds(benchmark: DataFrame, window: int = WINDOW, k: int = KGRAM) -> DataFrame:
-    """(item_id, length, hash, at, before, after): each item's fingerprints with the words about them."""
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), words(F.col("text")).alias("words")).where("size(words) > 0").distinct()
+    """(item_id, context, length, hash, at, before, after): each item's fingerprints with the words about
+    them, and a hash of these. A null id is the empty one."""
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), words(F.col("text")).alias("words")).where("size(words) > 0").distinct()
     span = window - k + 1
 
     def places(w: Column) -> Column:
@@ -83,7 +84,8 @@ def benchmark_seeds(benchmark: DataFrame, window: int = WINDOW, k: int = KGRAM)
 
     w = F.col("words")
     short = F.array(F.struct(F.size(w).alias("length"), F.xxhash64(hashes(w)).alias("hash"), F.lit(1).alias("at"), F.slice(w, 1, 0).alias("before"), w.alias("after")))
-    return items.select("item_id", F.inline(F.when(F.size(w) >= window, let(w, places)).otherwise(short)))
+    seeds = items.select("item_id", F.inline(F.when(F.size(w) >= window, let(w, places)).otherwise(short)))
+    return seeds.withColumn("context", F.xxhash64("length", "hash", F.size("before"), "before", "after"))
 
 
 def _common(a: Column, b: Column) -> Column:
@@ -102,25 +104,30 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = K
     short = sorted(r["length"] for r in prints.select("length").distinct().collect() if r["length"] < window)  # at most window - 1 lengths
     key = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("version"), F.col("text").cast("string").alias("text"))
     found = key.select("doc_id", "version", F.inline(let(hashes(words(F.col("text"))), lambda wh: fingerprints(wh, short, window, k))))
-    candidates = found.join(bounded(prints), ["length", "hash"]).groupBy("doc_id", "version").agg(F.collect_set(F.struct("length", "hash")).alias("prints"))
-    candidates = written(candidates, "benchmark-candidates")
-    texts = key.alias("d").join(bounded(candidates).alias("c"), F.expr("d.doc_id <=> c.doc_id AND d.version = c.version")).select("d.doc_id", "d.version", "d.text", "c.prints")
-
-    def places(w: Column) -> Column:
-        def of(length: int, n: int) -> Column:
-            """Places of the joined fingerprints of a length, in a word array."""
-            joined = F.transform(F.filter("prints", lambda p: p["length"] == length), lambda p: p["hash"])
-            at = lambda m: F.filter(F.transform(let(hashes(w), lambda wh: grams(wh, n)), lambda h, i: F.when(F.array_contains(m, h), F.struct(h.alias("hash"), (i + 1).alias("at")))), lambda x: x.isNotNull())
-            none = F.array().cast("array<struct<hash:bigint,at:int>>")
-            return F.transform(F.when(F.size(joined) > 0, let(joined, at)).otherwise(none), lambda x: _around(w, x["hash"], x["at"], length, n, window))
-
-        return F.concat(of(window, k), *[of(n, n) for n in short])
-
-    mine = texts.select("doc_id", "version", F.inline(let(words(F.col("text")), places))).distinct()
-    theirs = bounded(seeds).select("item_id", "length", "hash", F.col("before").alias("item_before"), F.col("after").alias("item_after"))
-    agree = mine.join(theirs, ["length", "hash"]).select("doc_id", "version", "item_id", "length", "at", _common(F.col("before"), F.col("item_before")).alias("left"), _common(F.col("after"), F.col("item_after")).alias("right"))
-    extended = written(agree.where("left + right >= length").select("doc_id", "version", "item_id", (F.col("at") - F.col("left")).alias("start"), (F.col("at") + F.col("right")).alias("end")), "benchmark-matches")
-    items = extended.groupBy("doc_id", "version").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
+    candidates = written(found.join(bounded(prints), ["length", "hash"]).select("doc_id", "version").distinct(), "benchmark-candidates")
+    same = F.expr("d.doc_id <=> c.doc_id AND d.version = c.version")
+    texts = written(key.alias("d").join(bounded(candidates).alias("c"), same, "left_semi").groupBy("doc_id", "version").agg(F.min("text").alias("text")), "benchmark-texts")
+
+    def tagged(w: Column) -> Column:
+        """The grams of a document, of each length, with their places."""
+        of = lambda wh, length, n: F.transform(grams(wh, n), lambda h, i: F.struct(F.lit(length).alias("length"), h.alias("hash"), (i + 1).alias("at")))
+        return let(hashes(w), lambda wh: F.concat(of(wh, window, k), *[of(wh, n, n) for n in short]))
+
+    seeded = texts.select("doc_id", "version", F.inline(tagged(words(F.col("text"))))).join(bounded(prints), ["length", "hash"])
+    # At most a document's own words times the lengths in a row.
+    seeded = written(seeded.groupBy("doc_id", "version").agg(F.collect_list(F.struct("length", "hash", "at")).alias("places")), "benchmark-places")
+
+    def around(w: Column) -> Column:
+        about = lambda x: F.when(x["length"] == window, _around(w, x["hash"], x["at"], window, k, window))
+        for_short = lambda x: F.struct(x["length"].alias("length"), x["hash"].alias("hash"), x["at"].alias("at"), F.slice(w, 1, 0).alias("before"), F.slice(w, x["at"], x["length"]).alias("after"))
+        return F.transform("places", lambda x: F.coalesce(about(x), for_short(x)))
+
+    own = texts.alias("d").join(bounded(seeded).alias("c"), same).select("d.doc_id", "d.version", F.inline(let(words(F.col("d.text")), around)))
+    contexts = written(seeds.select("context", "length", "hash", F.col("before").alias("item_before"), F.col("after").alias("item_after")).distinct(), "benchmark-contexts")
+    agree = own.join(bounded(contexts), ["length", "hash"]).select("doc_id", "version", "context", "length", "at", _common(F.col("before"), F.col("item_before")).alias("left"), _common(F.col("after"), F.col("item_after")).alias("right"))
+    extended = written(agree.where("left + right >= length").select("doc_id", "version", "context", (F.col("at") - F.col("left")).alias("start"), (F.col("at") + F.col("right")).alias("end")), "benchmark-matches")
+    members = written(seeds.select("context", "item_id").distinct(), "benchmark-members")
+    items = extended.select("doc_id", "version", "context").distinct().join(bounded(members), "context").groupBy("doc_id", "version").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
     # Runs that touch or overlap are one; a document's own runs are all that a window holds.
     in_doc = Window.partitionBy("doc_id", "version").orderBy("start", "end")
     runs = extended.select("doc_id", "version", "start", "end").distinct()
@@ -128,7 +135,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = K
     runs = runs.withColumn("island", F.count_if(F.coalesce(F.col("start") > F.col("reach"), F.lit(True))).over(in_doc))
     spans = runs.groupBy("doc_id", "version", "island").agg(F.struct(F.min("start").alias("start"), F.max("end").alias("end")).alias("span"))
     spans = spans.groupBy("doc_id", "version").agg(F.sort_array(F.collect_list("span")).alias("spans"))
-    same = F.expr("s.doc_id <=> i.doc_id AND s.version = i.version")
+    same = F.expr("s.doc_id <=> i.doc_id AND s.version = i.version")  # each has a row for each of these documents
     return spans.alias("s").join(items.alias("i"), same).select("s.doc_id", "s.version", "spans", "items")
 
 
@@ -136,7 +143,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k:
     """The columns of ``docs`` as a struct ``doc``, and n_words, n_hit, items (ids of the items with
     occurring windows), spans and contaminated (a hit, and at least a twentieth of the words), a
     row for each row of ``docs`` (doc_id, text). A null text has no words. Null item texts, and those
-    without words, have no window; rows of one item_id count as one item."""
+    without words, have no window; rows of one item_id count as one item, and null ids as the empty one."""
     found = bounded(written(hits(docs, benchmark, window, k), "benchmark-hits")).alias("h")
     d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col("doc_id").cast("bigint").alias("id"), F.xxhash64("text").alias("of"), F.regexp_count(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(WORDS)).cast("bigint").alias("n_words"))
     joined = d.join(found, F.expr("id <=> h.doc_id AND of = h.version"), "left")
@@ -147,11 +154,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k:
 
 def without(text: Column, spans: Column) -> Column:
     """A text without the words of the spans; what stands between words stays."""
+
     def build(gaps: Column) -> Column:
         def rebuilt(w: Column) -> Column:
-            hit = lambda i: F.exists(spans, lambda s: (s["start"] <= i) & (i < s["end"]))
-            pieces = F.transform(w, lambda x, i: F.concat(F.get(gaps, i), F.when(hit(i + 1), F.lit("")).otherwise(x)))
-            return F.concat(F.concat_ws("", pieces), F.element_at(gaps, -1))
+            joined = lambda a, n: F.array_join(F.zip_with(F.slice(gaps, a, n), F.slice(w, a, n), lambda g, x: F.concat(g, x)), "")
+            # The words between the span before and this one, then this one's gaps.
+            left = lambda i: F.when(i == 0, F.lit(1)).otherwise(F.get(spans, i - 1)["end"])
+            pieces = F.transform(spans, lambda s, i: F.concat(joined(left(i), s["start"] - left(i)), F.array_join(F.slice(gaps, s["start"], s["end"] - s["start"]), "")))
+            last = F.coalesce(F.try_element_at(spans, F.lit(-1))["end"], F.lit(1))
+            return F.concat(F.array_join(pieces, ""), joined(last, F.size(w) + 1 - last), F.element_at(gaps, -1))
 
         return let(F.regexp_extract_all(text, F.lit(WORDS), F.lit(0)), rebuilt)
 

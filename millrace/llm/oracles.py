@@ -8,7 +8,7 @@ _AZ = f"'{decontaminate.UPPER}', '{decontaminate.LOWER}'"
 _WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 DECONTAMINATION = f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_WORDS} AS ws FROM documents),
-b AS (SELECT CAST(item_id AS VARCHAR) AS item_id, {_WORDS} AS ws FROM benchmark),
+b AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item_id, {_WORDS} AS ws FROM benchmark),
 win AS (SELECT DISTINCT item_id, least(len(ws), {decontaminate.WINDOW}) AS n, ws[i : i + least(len(ws), {decontaminate.WINDOW}) - 1] AS w
   FROM (SELECT *, unnest(range(1, greatest(len(ws) - {decontaminate.WINDOW - 1}, 1) + 1)) AS i FROM b WHERE len(ws) > 0)),
 pos AS (SELECT rid, n, i, ws[i : i + n - 1] AS w FROM (SELECT rid, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM win) WHERE len(ws) >= n)),
