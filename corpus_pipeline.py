@@ -13,35 +13,39 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import bpe, decontaminate, jaccard, quality, queries, substrings
-from millrace.llm.store import table, written
+from millrace.llm.store import released, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules keep."""
+    """Documents that the rules keep, as they are. A null text has no words and goes; rows that repeat are
+    judged alike."""
     return quality.kept(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, whose five-word shingles have a similarity of
-    0.8 or more: that of the smallest doc_id."""
+    0.8 or more: that of the smallest doc_id, a null id being larger than any. Texts without words
+    are one group; of rows that repeat as a whole one stays."""
     return jaccard.one_of_each(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without passages that also start earlier."""
+    """All documents, without passages that also start earlier; a null text stays null. A row that
+    repeats with its id isn't earlier than itself."""
     out = substrings.remove_repeats(docs)
     return out.select(*[F.col("left").alias("text") if c == "text" else F.col("doc").getField(c).alias(c) for c in docs.columns])
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not contaminated; single hits in long ones are cut out."""
+    """Documents that are not contaminated; single hits in long ones are cut out. Null texts
+    have no words and stay; rows that repeat are judged alike."""
     return decontaminate.cleaned(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids, with digests of them and of the bytes they decode to."""
+    """Digests of the token ids, and of the bytes they decode to, of each row; a null text is empty."""
     return bpe.digest(bpe.encode(docs, queries.RANKS, public_tokenizers.PATTERN))
 
 
@@ -59,7 +63,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
-            docs = written(docs, f"stage-{name}")
+            docs = released(spark, docs, f"stage-{name}")
     return docs
 
 

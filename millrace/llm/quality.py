@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.columns import let
-from millrace.llm.store import without_rows, written
+from millrace.llm.store import bounded, without_rows, written
 
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]"
@@ -124,9 +124,9 @@ def thresholds(rows: DataFrame) -> DataFrame:
 
 def judged(docs: DataFrame) -> DataFrame:
     """The rows of ``measured`` with the fences of their group and kept: false if base_failed or if
-    a metric is beyond a fence."""
+    a metric is beyond a fence. The fences are written, so that Spark can split a hot group's rows."""
     rows = written(measured(docs), "quality-rows")
-    t = thresholds(rows).withColumnsRenamed({"lang": "t_lang", "source": "t_source"})
+    t = bounded(written(thresholds(rows).withColumnsRenamed({"lang": "t_lang", "source": "t_source"}), "quality-thresholds"))
     joined = rows.join(t, F.expr("lang <=> t_lang AND source <=> t_source"), "left")
     beyond = [F.coalesce(F.col(m) > F.col(f"high_{m}"), F.lit(False)) for m in METRICS] + [F.coalesce(F.col(m) < F.col(f"low_{m}"), F.lit(False)) for m, (_, two) in METRICS.items() if two]
     rejected = F.col("base_failed")

@@ -140,8 +140,8 @@ def _blocks(bits: list[int], n: int) -> list[int]:
     return [sum(1 << b for b in part.tolist()) for part in np.array_split(np.array(bits, np.int64), n)]
 
 
-def _signed(mask: int) -> Column:
-    return F.lit(mask - (1 << 64) if mask >> 63 else mask).cast("bigint")
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
 
 
 def links(nodes: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
@@ -155,11 +155,9 @@ def links(nodes: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFra
         for mask in fixed:
             free = [b for b in range(64) if not mask >> b & 1]
             routes.append((mask, [mask | m for m in _blocks(free, radius + 1)]))
-        masks = None
-        for mask, wider in routes:
-            choice = F.array(*[_signed(m) for m in wider])
-            masks = F.when(F.col("mask") == _signed(mask), choice) if masks is None else masks.when(F.col("mask") == _signed(mask), choice)
-        dealt = level.select("fp", F.explode(masks).alias("mask")).withColumn("value", F.col("fp").bitwiseAND(F.col("mask")))
+        masks = [(_signed(mask), [_signed(m) for m in wider]) for mask, wider in routes]  # at most (radius + 1)^level rows
+        masks = F.broadcast(nodes.sparkSession.createDataFrame(masks, "mask bigint, wider array<bigint>"))
+        dealt = level.join(masks, "mask").select("fp", F.explode("wider").alias("mask")).withColumn("value", F.col("fp").bitwiseAND(F.col("mask")))
         sizes = dealt.groupBy("mask", "value").agg(F.count("*").alias("n")).where("n > 1")
         sizes = written(sizes, "simhash-sizes")  # a hot shard's join can be split where neither side is grouped in it
         sized = written(dealt.join(sizes, ["mask", "value"]), "simhash-shards")
