@@ -111,20 +111,21 @@ def _reattached(w: Warehouse, name: str) -> DataFrame:
 
 def sql_udf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """User functions of two overloads, a pandas one and an aggregate, and packed addresses, in one query."""
+
+    def twice(x):
+        return x * 2
+
+    twice.__annotations__ = {"x": pd.Series, "return": pd.Series}
     w, name = _warehouse(spark, "udf"), f"u_{uuid.uuid4().hex}"
     w.catalog.register(name, parquet(spark, sf_dir, "supplier"))
     w.functions.scalar("tag", ["long"], "string", lambda k: F.concat(F.lit("n"), k.cast("string")))
     w.functions.scalar("tag", ["string"], "string", lambda s: F.concat(F.lit("s"), F.upper(s)))
-    w.functions.pandas_scalar("twice", ["double"], "double", _twice)
+    w.functions.pandas_scalar("twice", ["double"], "double", twice)
     w.functions.aggregate("spread", ["double"], "double", lambda c: {"lo": F.min(c), "hi": F.max(c)}, lambda lo, hi: hi - lo)
     return w.sql(f"""select tag(s_nationkey) as a, tag(min(s_name)) as b, round(sum(twice(s_acctbal)), 2) as c, round(spread(s_acctbal), 2) as d,
         ipv4_unpack(167772160 + s_nationkey) as ip, ipv4_pack('10.0.0.9') as packed from {name} group by s_nationkey""")
 
 
-def _twice(x: pd.Series) -> pd.Series:
-    return x * 2
-
-
 _LINES = "create table $T as select l_orderkey as k, l_partkey as v, l_linenumber as n from lineitem; create index i_$T on $T using bst (k desc null first) with ('ranges' = '3')"
 SCRIPTS = {
     "index_lookup": (_named(f"{_LINES}; select k, v, n from $T where k = 33 and n > 1", "lineitem"), "SELECT l_orderkey AS k, l_partkey AS v, l_linenumber AS n FROM lineitem WHERE l_orderkey = 33 AND l_linenumber > 1"),

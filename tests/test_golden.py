@@ -191,3 +191,15 @@ def test_stream_appends_new_files_once(spark, tmp_path):
             spark.range(3).write.mode("append").parquet(src)
         ingest.append_available(ingest.stream(spark, src, schema), out, str(tmp_path / "ck"))
         assert spark.read.parquet(out).count() == want
+
+
+def test_windowed_counts_of_a_stream(spark, tmp_path):
+    from millrace.streaming import ingest
+
+    src = str(tmp_path / "src")
+    rows = [("2024-01-01 10:05:00", "a"), ("2024-01-01 10:55:00", "a"), ("2024-01-01 11:05:00", "a"), ("2024-01-01 10:10:00", "b"), ("2024-01-01 20:00:00", "b")]
+    spark.createDataFrame(rows, "t string, k string").select(F.col("t").cast("timestamp").alias("t"), "k").write.parquet(src)
+    counts = ingest.windowed_counts(ingest.stream(spark, src, spark.read.parquet(src).schema), "t", "k")
+    counts.writeStream.format("memory").queryName("windowed").outputMode("complete").trigger(availableNow=True).start().awaitTermination()
+    got = sorted((str(r["window_start"])[11:13], r["k"], r["n"]) for r in spark.table("windowed").collect())
+    assert got == [("10", "a", 2), ("10", "b", 1), ("11", "a", 1), ("20", "b", 1)]
