@@ -27,7 +27,9 @@ from pyspark.sql import functions as F
 
 from millrace.llm.store import width
 
-#: Characters after a match that can still change it: two for the contractions.
+#: Characters after a match that can still change it: two for the contractions. This holds for the public
+#: tokenizers' PATTERN and any other whose matches end by at most so many characters beyond them; a
+#: pattern that can take up a run of spaces for the sake of a later line end isn't one.
 LOOKAHEAD = 3
 CACHE = 150_000
 

@@ -5,10 +5,11 @@ import re
 import public_tokenizers as P
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from millrace.llm import quality, queries
-from tests.llm import test_decontaminate, test_jaccard, test_substrings
+from tests.llm import test_decontaminate, test_jaccard, test_quality, test_substrings
 from tests.llm.fixtures import empty, hard
 
 NAMES = [name for name, _ in corpus_pipeline.STAGES]
@@ -93,10 +94,26 @@ def test_hard_and_empty_tables(spark, sf, name):
     stage = dict(corpus_pipeline.STAGES)[name]
     docs = hard(spark)
     got = stage(spark, docs, sf).collect()
+    key = lambda rows: sorted(((r["doc_id"], r["text"]) for r in rows), key=str)
+    given = [r.asDict() for r in docs.collect()]
+    if name == "quality_rules":
+        verdicts = {(r["doc_id"], r["version"]) for r in quality.judged(docs).where("kept").collect()}
+        versions = docs.select("doc_id", "text", F.xxhash64("text").alias("version")).collect()
+        assert key(got) == key(r for r in versions if (r["doc_id"], r["version"]) in verdicts)
+        assert all(not test_quality.brute(r["text"])[5] for r in got) and got
     if name == "near_dedup":
         assert len({(r["doc_id"], r["text"]) for r in got}) == len(got) < docs.count()
+        roots = test_jaccard.brute_roots([r["text"] for r in given])
+        assert sorted(roots[k] for k in {next(k for k, g in enumerate(given) if (g["doc_id"], g["text"]) == (r["doc_id"], r["text"])) for r in got}) == sorted(set(roots))
     if name in ("substring_dedup", "encoding"):
         assert len(got) == docs.count()
+    if name == "decontamination":
+        bench = [tuple(r) for r in spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text").collect()]
+        clean = [r for r in given if not test_decontaminate.brute([(r["doc_id"], r["text"])], bench)[0][5]]
+        assert key(got) == key(clean)
+    if name == "encoding":
+        texts = [(r["doc_id"], hashlib.sha256((r["text"] or "").encode()).hexdigest()) for r in given]
+        assert sorted(((r["doc_id"], r["decoded_sha256"]) for r in got), key=str) == sorted(texts, key=str)
     assert stage(spark, empty(spark), sf).count() == 0
 
 
