@@ -106,23 +106,33 @@ class Overlap:
         return np.flatnonzero(9 * shared >= 4 * (self.sizes + len(tokens)))
 
 
-def forest(nodes: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """(node, smallest node of its component) of all that are linked to a smaller one, where sets of
-    similarity 4/5 and above are linked."""
-    overlap, parent = Overlap(sets), list(range(len(nodes)))
+class Union:
+    """Numbers in joined sets."""
 
-    def root(v: int) -> int:
+    def __init__(self, n: int):
+        self.parent = list(range(n))
+
+    def root(self, v: int) -> int:
+        parent = self.parent
         while parent[v] != v:
             parent[v] = v = parent[parent[v]]
         return v
 
+    def join(self, a: int, b: int) -> None:
+        self.parent[self.root(b)] = self.root(a)
+
+
+def forest(nodes: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """(node, smallest node of its component) of all that are linked to a smaller one, where sets of
+    similarity 4/5 and above are linked."""
+    order = np.argsort(np.array(nodes, np.int64), kind="stable").tolist()
+    nodes, sets = [nodes[k] for k in order], [sets[k] for k in order]
+    overlap, joined = Overlap(sets), Union(len(nodes))
     for v, s in enumerate(sets):
         for w in overlap.near(s).tolist():
-            a, b = root(v), root(w)
-            if a != b:
-                low, high = (a, b) if nodes[a] < nodes[b] else (b, a)
-                parent[high] = low
-    return [(n, nodes[root(v)]) for v, n in enumerate(nodes) if root(v) != v]
+            a, b = joined.root(v), joined.root(w)
+            joined.join(min(a, b), max(a, b))
+    return [(n, nodes[joined.root(v)]) for v, n in enumerate(nodes) if joined.root(v) != v]
 
 
 def _unsigned(lists) -> list[np.ndarray]:
@@ -138,13 +148,17 @@ def _against_pivots(block: pa.Table) -> pa.Table:
     """(a, b): links between the pivots and the other nodes of a block of (grp, block, node, pivot, tokens)."""
     is_pivot = block["pivot"].to_numpy()
     pivots, others = block.filter(pa.array(is_pivot)), block.filter(pa.array(~is_pivot))
-    names, overlap = pivots["node"].to_numpy(), Overlap(_unsigned(pivots["tokens"]))
-    out = [np.zeros((2, 0), np.int64)]
+    names, overlap = pivots["node"].to_pylist(), Overlap(_unsigned(pivots["tokens"]))
+    # A row for each node and pivot at most: pivots that have a node in common are linked.
+    joined, first = Union(len(names)), []
     for node, tokens in zip(others["node"].to_pylist(), _unsigned(others["tokens"]), strict=True):
-        near = names[overlap.near(tokens)]
-        out.append(np.stack((np.full(len(near), node), near)))
-    a, b = np.concatenate(out, axis=1)
-    return pa.table({"a": a[a != b], "b": b[a != b]})
+        near = overlap.near(tokens).tolist()
+        for k in near[1:]:
+            joined.join(near[0], k)
+        first += [(node, near[0])] if near else []
+    links_ = [(node, names[joined.root(k)]) for node, k in first] + [(n, names[joined.root(k)]) for k, n in enumerate(names)]
+    pairs = np.array([x for x in links_ if x[0] != x[1]], np.int64).reshape(-1, 2)
+    return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
 
 
 def _linkable(sets: DataFrame) -> DataFrame:
