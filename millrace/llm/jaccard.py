@@ -11,11 +11,11 @@ node, never in pairs, into coarse groups, and similarities within a group are co
 - A group of at most ``SMALL`` nodes is compared as a whole in one task.
 - In a larger one, nodes of which more than a fifth of the shingles are found in no other node of the
   group have no link, whatever they resemble; a much changed copy is such a node. All others are
-  compared with up to ``PIVOTS`` of them at a time, in blocks of ``BLOCK`` nodes. Once a node has
-  been a pivot, all its links are known. The first pivots are any; the next ones are nodes outside
-  of the group's largest component. When each of those has been a pivot, no link between two
-  components can be missing. So a hot group of near copies costs its rows times some pivots, not
-  their square.
+  compared with pivots among them, ``BLOCK`` nodes with ``PIVOTS`` pivots in a task. Once a node has
+  been a pivot, all its links are known. The first pivots are any; the next ones are the nodes
+  outside of the group's largest component. When each of those has been a pivot, no link between
+  two components can be missing. So a hot group of near copies costs its nodes times those outside
+  of the component that most of them are in, and never meets in one task.
 """
 
 from __future__ import annotations
@@ -33,8 +33,8 @@ SHINGLE = 5
 BANDS, ROWS = 24, 5
 SEED = 42
 RADIUS = 2
-#: Nodes of a group that is compared in one task; pivots of a larger one at a time, and nodes of its blocks.
-SMALL, PIVOTS, BLOCK = 256, 128, 2_000
+#: Nodes of a group that is compared in one task; pivots and nodes of a larger one that are.
+SMALL, PIVOTS, BLOCK = 256, 128, 1_000
 
 _rng = np.random.default_rng(SEED)
 _XOR = _rng.integers(0, 1 << 64, BANDS * ROWS, np.uint64)
@@ -145,7 +145,7 @@ def _verified(group: pa.Table) -> pa.Table:
 
 
 def _against_pivots(block: pa.Table) -> pa.Table:
-    """(a, b): links between the pivots and the other nodes of a block of (grp, block, node, pivot, tokens)."""
+    """(a, b): links between the pivots and the other nodes of a block of (grp, block, of, node, pivot, tokens)."""
     is_pivot = block["pivot"].to_numpy()
     pivots, others = block.filter(pa.array(is_pivot)), block.filter(pa.array(~is_pivot))
     names, overlap = pivots["node"].to_pylist(), Overlap(_unsigned(pivots["tokens"]))
@@ -170,22 +170,24 @@ def _linkable(sets: DataFrame) -> DataFrame:
 
 def _resolved(sets: DataFrame) -> DataFrame:
     """(node, root): the components of what is similar in the large groups of ``sets`` (grp, n, node, tokens)."""
-    by_hash = Window.partitionBy("grp").orderBy("h", "node")
-    some = lambda nodes: nodes.select("grp", "node", F.xxhash64("node").alias("h")).withColumn("place", F.row_number().over(by_hash)).where(F.col("place") <= PIVOTS).select("grp", "node")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("bigint")
-    others = sets.select("grp", F.pmod(F.xxhash64("node"), blocks).alias("block"), "node", F.lit(False).alias("pivot"), "tokens")
-    pivots = written(some(sets), "jaccard-pivots")
-    found = tried = None
+    by_hash = Window.partitionBy("grp").orderBy(F.xxhash64("node"), "node")
+    first = sets.select("grp", "node").withColumn("place", F.row_number().over(by_hash)).where(F.col("place") <= PIVOTS)
+    pivots, found, tried = written(first.select("grp", "node"), "jaccard-pivots"), None, None
+    dealt = lambda n, size: F.pmod(F.xxhash64("node"), F.ceil(n / size).cast("bigint"))
+    every = lambda n, size: F.explode(F.sequence(F.lit(0).cast("bigint"), F.ceil(n / size).cast("bigint") - 1))
     while True:
-        chosen = sets.join(bounded(pivots), ["grp", "node"]).select("grp", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)).alias("block"), "node", F.lit(True).alias("pivot"), "tokens")
-        links_ = written(others.union(chosen).groupBy("grp", "block").applyInArrow(_against_pivots, "a bigint, b bigint"), "jaccard-pivot-links")
+        counts = bounded(written(pivots.groupBy("grp").agg(F.count("*").alias("p")), "jaccard-pivot-counts"))
+        counted = written(sets.join(counts, "grp"), "jaccard-round")
+        others = counted.select("grp", dealt(F.col("n"), BLOCK).alias("block"), every(F.col("p"), PIVOTS).alias("of"), "node", F.lit(False).alias("pivot"), "tokens")
+        chosen = counted.join(bounded(pivots), ["grp", "node"]).select("grp", every(F.col("n"), BLOCK).alias("block"), dealt(F.col("p"), PIVOTS).alias("of"), "node", F.lit(True).alias("pivot"), "tokens")
+        links_ = written(others.union(chosen).groupBy("grp", "block", "of").applyInArrow(_against_pivots, "a bigint, b bigint"), "jaccard-pivot-links")
         found = links_ if found is None else found.union(links_)
         tried = pivots if tried is None else tried.union(pivots)
         rooted = written(sets.select("grp", "node").join(components(found), "node", "left").select("grp", "node", F.coalesce("root", "node").alias("root")), "jaccard-rooted")
         sizes = rooted.groupBy("grp", "root").agg(F.count("*").alias("n"))
         largest = written(sizes.groupBy("grp").agg(F.max(F.struct("n", "root")).alias("most")).select("grp", F.col("most.root").alias("largest")), "jaccard-largest")
         outside = rooted.join(largest, "grp").where("root <> largest").select("grp", "node").join(tried, ["grp", "node"], "left_anti")
-        pivots = written(some(outside), "jaccard-pivots")
+        pivots = written(outside, "jaccard-pivots")
         if pivots.isEmpty():
             return rooted.select("node", "root")
 
