@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import bpe, decontaminate, jaccard, quality, queries, substrings
-from millrace.llm.store import released, table
+from millrace.llm.store import mark, released, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -59,11 +59,11 @@ STAGES: list[tuple[str, Stage]] = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, since = table(spark, sf_dir, "documents"), mark()
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
-            docs = released(spark, docs, f"stage-{name}")
+            docs = released(docs, f"stage-{name}", since)
     return docs
 
 

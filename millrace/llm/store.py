@@ -53,13 +53,18 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def released(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
-    """``df`` as a table, after which all tables that were written for it are deleted."""
+def mark() -> int:
+    """The place after the tables that are written by now."""
+    return len(_made)
+
+
+def released(df: DataFrame, label: str, since: int) -> DataFrame:
+    """``df`` as a table, after which all other tables that were written since that mark are deleted."""
     out = written(df, label)
-    for path in _made[:-1]:
-        p, fs = _hadoop(spark, path)
+    for path in _made[since:-1]:
+        p, fs = _hadoop(df.sparkSession, path)
         fs.delete(p, True)
-    del _made[:-1]
+    del _made[since:-1]
     return out
 
 
