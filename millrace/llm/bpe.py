@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.store import width
+from millrace.llm.words import sliced
 
 #: Characters after a match that can still change it: two for the contractions. This holds for the public
 #: tokenizers' PATTERN and any other whose matches end by at most so many characters beyond them; a
@@ -126,7 +127,7 @@ def _result(doc_ids: list, ids: list, c: Coder) -> pa.RecordBatch:
 def _whole(ranks_path: str, pattern: str) -> Callable:
     def run(batches):
         c = coder(ranks_path, pattern)
-        for batch in batches:
+        for batch in sliced(batches):
             doc_ids, ids, held = [], [], 0
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 doc_ids.append(doc_id)

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.simhash import _LOWER, components, first_of_each, links
 from millrace.llm.store import bounded, written
+from millrace.llm.words import sliced
 
 SHINGLE = 5
 BANDS, ROWS = 24, 5
@@ -69,7 +70,7 @@ def fingerprint(tokens: np.ndarray) -> int:
 
 def _signatures(batches):
     """doc_id, version, node (a digest of the shingle set), fp and bands of (doc_id, text, version)."""
-    for batch in batches:
+    for batch in sliced(batches):
         nodes, fps, keys = [], [], []
         for t in batch.column(1):
             s = shingles(t.as_py())
@@ -82,7 +83,7 @@ def _signatures(batches):
 
 def _sets(batches):
     """grp, n, node and tokens of (grp, n, node, text)."""
-    for batch in batches:
+    for batch in sliced(batches):
         tokens = pa.array([shingles(t.as_py()).view(np.int64) for t in batch.column(3)], pa.list_(pa.int64()))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), tokens], names=["grp", "n", "node", "tokens"])
 

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.store import written
-from millrace.llm.words import Spans, WordHashes, sliding_minimum
+from millrace.llm.words import Spans, WordHashes, sliced, sliding_minimum
 
 LENGTH = 20
 KGRAM = 6
@@ -56,7 +56,7 @@ def _seeds(length: int, k: int) -> Callable:
 
     def run(batches):
         known = WordHashes()
-        for batch in batches:
+        for batch in sliced(batches):
             cols: list[list[np.ndarray]] = [[], [], [], []]
             ids, versions, null = [], [], []
             for doc_id, version, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
@@ -97,7 +97,7 @@ def _windows(length: int) -> Callable:
 
     def run(batches):
         known = WordHashes()
-        for batch in batches:
+        for batch in sliced(batches):
             for row in batch.to_pylist():
                 spans = Spans(known.of(row["text"].encode("utf-8", "surrogatepass").split()))
                 at = np.concatenate([np.arange(lo, hi + 1) for lo, hi in zip(row["los"], row["his"], strict=True)])
@@ -180,7 +180,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, k: int = KGRAM) -> DataFrame:
 
 def _removed(batches):
     word = re.compile(rb"[^\x20\x09-\x0D]+")
-    for batch in batches:
+    for batch in sliced(batches):
         out = []
         for text, starts, ends in zip(*(batch.column(i) for i in range(3)), strict=True):
             text, spans = text.as_py(), list(zip(starts.as_py() or [], ends.as_py() or [], strict=True))

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+from collections.abc import Iterable, Iterator
+
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 #: bytes.split() cuts at exactly these: space and \t \n \v \f \r.
@@ -11,6 +16,22 @@ MULTIPLIER = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(MULTIPLIER), -1, 1 << 64))
 
 
+def sliced(batches: Iterable[pa.RecordBatch], rows: int = 1_000) -> Iterator[pa.RecordBatch]:
+    """Batches of at most so many rows, so that a worker holds few documents' results at a time. At
+    the end of a task freed memory goes back to the system: workers live on, and what one stage's
+    hold counts beside the next's."""
+    try:
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                yield batch.slice(at, rows)
+    finally:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """The 64-bit finaliser of MurmurHash3."""
     h = h ^ (h >> np.uint64(33))
